@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embed_graph import embedding_near_dedup
+from .line_rules import clean_lines
+from .mixing import mix_digest
 from .packing import best_fit_packing
+from .quality_classifier import importance_resample
 from .secrets import secret_digest
 from .simhash import simhash_near_dedup
 from .substring_dedup import substring_dedup
 from .urlfilter import filter_urls
+from .warc import round_trip
 
 #: The url rules.
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -34,6 +39,14 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(_table(spark, sf_dir, "documents"))
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_digest(_table(spark, sf_dir, "documents"))
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -42,6 +55,18 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_dedup(_table(spark, sf_dir, "embeddings"))
+
+
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_lines(_table(spark, sf_dir, "documents")).select("doc_id", "rules.*")
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(_table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
 
@@ -49,8 +74,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1,
     "op2_secret_scan": op2,
+    "op3_warc": op3,
+    "op4_source_mixing": op4,
     "op5_simhash_near_dedup": op5,
     "op6_url_filter": op6,
+    "op7_embedding_near_dedup": op7,
+    "op8_quality_classifier": op8,
+    "op9_line_rules": op9,
     "op10_best_fit_packing": op10,
 }
 ORACLE_SQL: dict[str, str] = {}
