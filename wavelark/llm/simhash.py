@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from .common import Union, as_bytes, parallelism, remove, stage
 from .components import connected_components
 
-#: Fingerprints that the top of the tree is fitted on, at most, and points a shard should hold.
-SAMPLE, SHARD_POINTS = 8192, 20_000
+#: Fingerprints that the top of the tree is fitted on, at most; points a shard should hold, at most, and shards aimed at.
+#: A fingerprint visits most of the shards, so there are as few as memory and spread over executors allow.
+SAMPLE, SHARD_POINTS, SHARDS = 8192, 250_000, 8
 #: Pairs that one block compares at once.
 BLOCK_PAIRS = 1 << 20
 
@@ -150,11 +151,11 @@ def link_forest(points: np.ndarray, lives: np.ndarray, radius: int) -> tuple[np.
     return points[linked], points[other[linked]]
 
 
-def fingerprint_links(nodes: DataFrame, radius: int = 4, shard_points: int = SHARD_POINTS) -> DataFrame:
+def fingerprint_links(nodes: DataFrame, radius: int = 4) -> DataFrame:
     """nodes(fp), distinct -> edges(a, b) that connect what pairs of at most `radius` differing bits connect."""
     total = nodes.count()
     sample = np.array([r.fp for r in nodes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    tree = build_top(sample, total, shard_points)
+    tree = build_top(sample, total, min(SHARD_POINTS, max(2000, total // SHARDS)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
