@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, text_or_empty
+from .common import SPACE_CHARS, WORD_REGEX, text_or_empty
 
 #: What counts as a symbol, marks that stand between links, boilerplate phrases.
 SYMBOLS = "#*$%&|<>"
@@ -20,12 +20,13 @@ BOILERPLATE = r"(?i)all rights reserved|\bcookies?\b|\bjavascript\b|terms of (?:
 
 
 def _count(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+    """How often any of the characters stands in the text, where that is seldom."""
+    return F.regexp_count(text, F.lit(f"[{characters}]"))
 
 
 def line_rule(line: Column) -> Column:
     """The rule that a line fails: punctuation, navigation or boilerplate; null if it passes."""
-    words = _count(line, SPACE_CHARS) + 1
+    words = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
     marks = _count(line, "#*$%&<>!")
     links = _count(line, LINK_MARKS)
     return (
@@ -48,14 +49,14 @@ def clean_lines(documents: DataFrame, max_lost: float = 0.5, repeat_window: int
     if repeat_window != 8:
         raise ValueError("windows are built by doubling: 8 words")
     t, space = F.col("__text"), F.lit(SPACE_CHARS)
-    bare = F.translate(t, SPACE_CHARS, "")
-    has_word = lambda line: F.translate(line, SPACE_CHARS, "") != ""
+    has_word = lambda line: line.rlike(WORD_REGEX)
     pair = lambda a, step: F.zip_with(F.slice(a, 1, F.greatest(F.size(a) - step, F.lit(0))), F.slice(a, step + 1, F.greatest(F.size(a) - step, F.lit(0))), lambda x, y: F.xxhash64(x, y))
     df = documents.withColumn("__text", text_or_empty())
     df = df.withColumn("__trim", F.btrim(t, space)).withColumn("__lines", F.split(t, "\n", -1))
     df = df.withColumn("__words", F.when(F.col("__trim") == "", F.array().cast("array<string>")).otherwise(F.split("__trim", r"[\x20\x09-\x0D]+", -1)))
     df = df.withColumn("__n", F.size("__words")).withColumn("__h1", F.transform("__words", lambda w: F.xxhash64(w)))
-    df = df.withColumn("__h8", pair(pair(pair(F.col("__h1"), 1), 2), 4))
+    # Each doubling is a column of its own: nested, it would be computed again for each use.
+    df = df.withColumn("__h2", pair(F.col("__h1"), 1)).withColumn("__h4", pair(F.col("__h2"), 2)).withColumn("__h8", pair(F.col("__h4"), 4))
     # Only texts in which some window repeats pay for the sort.
     df = df.withColumn("__repeats", F.size(F.array_distinct("__h8")) < F.size("__h8"))
     ordered = F.when(F.col("__repeats"), F.sort_array(F.arrays_zip(F.col("__h8").alias("h"), F.sequence(F.lit(0), F.size("__h8") - 1).alias("i")).cast("array<struct<h:bigint,i:int>>")))
@@ -73,7 +74,7 @@ def clean_lines(documents: DataFrame, max_lost: float = 0.5, repeat_window: int
     failed = (n < min_words) | (F.col("__repeat") * 100 > n * max_repeat_percent)
     rules = F.struct(
         n.alias("n_words"),
-        F.length(bare).cast("long").alias("word_chars"),
+        chars(F.col("__words")).alias("word_chars"),
         _count(t, SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("__worded") - F.size(F.array_distinct("__worded"))).cast("long").alias("n_dup_lines"),
         F.col("__repeat").alias("n_repeat_words"),
