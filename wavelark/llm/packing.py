@@ -9,6 +9,7 @@ a handful of half-empty bins.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes
 
-#: Words whose ids are remembered at a time; beyond, the memory starts anew.
-REMEMBERED_WORDS = 800_000
+#: Words whose ids are remembered at a time (beyond, the memory starts anew), and bytes of text that are split at once.
+REMEMBERED_WORDS, TEXT_BYTES = 1_200_000, 2 << 20
+#: Latin letters, none of which normalising changes, and then marks that are never part of a contraction: the tokenizer cuts between the two.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?#*$%&|<>()\[\]{}+=/\\_\"@~^-]*)")
 _tokenizers: dict[str, "WordIds"] = {}
 
 
@@ -29,31 +32,61 @@ class WordIds(dict):
     """Ids of a word, as little-endian unsigned 32-bit bytes, asked of the tokenizer once.
 
     For tokenizers that drop white space and never look past it, so that a text's ids are those of its
-    words in a row.
+    words in a row. With `plain`, also ones that lower case and split letters from marks: ids of plain
+    Latin words then come from the tokenizer's model, without the normalising that they don't need.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100))})
+        probe = "Plain WORDS, end. $$$ a|b x!! Été ñandúÿ ÜBER. straße***"
+        self.plain = all(self._encode([w.encode()])[0] == b"".join(self._model(p) for p in _PLAIN.fullmatch(w).groups() if p) for w in probe.split() if _PLAIN.fullmatch(w))
 
-    def learn(self, words: list[bytes]) -> None:
-        new = [w for w in set(words) if w not in self]
-        if len(self) + len(new) > REMEMBERED_WORDS:
-            self.clear()
-            new = list(set(words))
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self[w] = array("I", e.ids).tobytes()
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def _model(self, part: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(part.lower().translate(self.letters))]).tobytes()
 
-    def of(self, text: bytes) -> bytes:
-        words = text.split()
-        try:
-            return b"".join(map(self.__getitem__, words))
-        except KeyError:
-            self.learn(words)
-            return b"".join(map(self.__getitem__, words))
+    def learn(self, words: set[bytes]) -> None:
+        new = [w for w in words if w not in self]
+        if len(self) + 2 * len(new) > REMEMBERED_WORDS:
+            self.clear()
+            new = list(words)
+        rest = []
+        for w in new:
+            if not (self.plain and (m := _PLAIN.fullmatch(w.decode()))):
+                rest.append(w)
+                continue
+            ids = b""
+            for part in m.groups():
+                if part:
+                    key = part.lower().encode()
+                    known = self.get(key)
+                    if known is None:
+                        known = self[key] = self._model(part)
+                    ids += known
+            self[w] = ids
+        for k in range(0, len(rest), 4096):
+            self.update(zip(rest[k : k + 4096], self._encode(rest[k : k + 4096]), strict=True))
+
+    def of(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Ids of each text; texts are taken together up to a bound, so that new words are learned in bulk."""
+        k = 0
+        while k < len(texts):
+            lists, size = [], 0
+            while k < len(texts) and size < TEXT_BYTES:
+                lists.append(texts[k].split())
+                size += len(texts[k])
+                k += 1
+            self.learn(set().union(*lists))
+            ids = self.__getitem__
+            for words in lists:
+                yield b"".join(map(ids, words))
 
 
 def word_ids(path: str) -> WordIds:
@@ -124,8 +157,8 @@ def best_fit_packing(documents: DataFrame, tokenizer_path: str, capacity: int =
         for b in batches:
             texts, docs = as_bytes(b.column(1)), b.column(0).to_pylist()
             out: list[list] = [[] for _ in names]
-            for doc, text in zip(docs, texts, strict=True):
-                data = ids_of.of(text or b"") + end
+            for doc, ids in zip(docs, ids_of.of([t or b"" for t in texts]), strict=True):
+                data = ids + end
                 for k in range(0, len(data), 4 * capacity):
                     piece = data[k : k + 4 * capacity]
                     bin_, offset = bins.place(len(piece) // 4)
