@@ -16,6 +16,9 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 4 << 20
 _local_default: list[str] = []
 
 
@@ -64,6 +67,14 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, whose texts go to Python in batches of BATCH_BYTES at most: long texts would otherwise make batches of any size."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH).rstrip("b")) <= BATCH_BYTES:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
 def total_bytes(df: DataFrame, text_col: str) -> int:
     return df.agg(F.sum(F.octet_length(text_col)).alias("b")).first()["b"] or 0
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, remove, stage
+from .common import as_bytes, bounded_batches, remove, stage
 
 #: The weights of sources in their order, repeating; the mix's share of all words; the most of a source.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
@@ -88,7 +88,7 @@ def sized(documents: DataFrame, source_col: str = "source") -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(count_words(b.column(3)))], ["doc_id", "text_hash", "source", "size"])
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col(source_col).cast("string").alias("source"), "text").mapInArrow(run, "doc_id long, text_hash long, source string, size long")
+    rows = bounded_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col(source_col).cast("string").alias("source"), "text").mapInArrow(run, "doc_id long, text_hash long, source string, size long")
     return stage(rows.select(F.monotonically_increasing_id().alias("row"), "*"), "sized")[0]
 
 

@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import as_bytes, bounded_batches
 
 #: Words whose ids are remembered at a time (beyond, the memory starts anew), and bytes of text that are split at once.
-REMEMBERED_WORDS, TEXT_BYTES = 1_200_000, 2 << 20
+REMEMBERED_WORDS, TEXT_BYTES = 400_000, 1 << 20
 #: Latin letters, none of which normalising changes, and then marks that are never part of a contraction: the tokenizer cuts between the two.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?#*$%&|<>()\[\]{}+=/\\_\"@~^-]*)")
 _tokenizers: dict[str, "WordIds"] = {}
@@ -167,4 +167,4 @@ def best_fit_packing(documents: DataFrame, tokenizer_path: str, capacity: int =
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, ids binary")
+    return bounded_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, ids binary")

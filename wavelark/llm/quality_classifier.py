@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, mix64, stage
+from .common import as_bytes, bounded_batches, mix64, stage
 
 #: Buckets of the models, slices in which tasks' counts meet, and labelled rows that are used at most.
 BUCKETS, SLICES, MAX_LABELS = 1 << 14, 16, 20_000
@@ -60,7 +60,7 @@ def fit(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> tupl
         total = np.sum([np.frombuffer(x, np.int64) for x in pdf["counts"]], axis=0)
         return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "counts": [total.tobytes()]})
 
-    counted = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, counts binary").collect()
+    counted = bounded_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, counts binary").collect()
     if not good or not counted:
         return np.zeros(buckets), share
     raw, target = np.concatenate([np.frombuffer(r.counts, np.int64).reshape(2, -1) for r in sorted(counted)], axis=1)
@@ -107,7 +107,7 @@ def importance_resample(documents: DataFrame, labels: DataFrame, keep_share: flo
             grams = [ngram_buckets(t, buckets) for t in as_bytes(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(g) for g in grams], pa.int64()), pa.array([float(ratio[g].sum()) for g in grams], pa.float64())], ["doc_id", "text_hash", "n_ngrams", "log_weight"])
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(score, "doc_id long, text_hash long, n_ngrams long, log_weight double")
+    rows = bounded_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(score, "doc_id long, text_hash long, n_ngrams long, log_weight double")
     uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", "text_hash", F.lit(seed)), 11).cast("double") + 0.5) / F.lit(2.0**53)
     keyed, _ = stage(rows.withColumn("key", F.col("log_weight") - F.log(-F.log(uniform))).drop("text_hash"), "scores")
     k = round(keyed.count() * (share if keep_share is None else keep_share))

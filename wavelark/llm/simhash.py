@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Union, as_bytes, parallelism, remove, stage
+from .common import Union, as_bytes, bounded_batches, parallelism, remove, stage
 from .components import connected_components
 
 #: Fingerprints that the top of the tree is fitted on, at most; points a shard should hold, at most, and shards aimed at.
@@ -58,7 +58,7 @@ def fingerprints(documents: DataFrame, shingle: int = 4) -> DataFrame:
             fp = np.array([fingerprint(t, shingle) for t in as_bytes(b.column(2))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["doc_id", "text_hash", "fp"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text")).mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return bounded_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _distance(points: np.ndarray, v: np.uint64) -> np.ndarray:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, new_path, parallelism, stage, text_or_empty
+from .common import as_bytes, bounded_batches, new_path, parallelism, stage, text_or_empty
 
 #: The magic number of the dictionary's frame, and the revisit profile.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -117,7 +117,7 @@ def write_warc(pages: DataFrame, folder: str, min_revisit_bytes: int = 0) -> Dat
     the response and the others revisit it; rows that share that page_id are all responses. Null html is
     an empty payload. A null page_id is smaller than any other; where all are null, all are responses.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", text_or_empty("html").alias("html")).withColumn("sha", F.unhex(F.sha1("html")))
+    rows = bounded_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", text_or_empty("html").alias("html")).withColumn("sha", F.unhex(F.sha1("html")))
     shared = rows.where(F.octet_length("html") >= min_revisit_bytes).groupBy("sha").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("sha", "first")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     marked = rows.join(shared, "sha", "left").select("page_id", "url", "html", revisit.alias("revisit"), F.when(revisit, F.col("first")).alias("refers_to"))
