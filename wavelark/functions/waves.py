@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NAN = float("nan")
-ZERO = F.lit
 
 
 def total(a: Column) -> Column:
@@ -60,7 +59,7 @@ def max_abs_diff(wave: Column) -> Column:
 
 def cumulative(a: Column) -> Column:
     """Running sums, in one pass."""
-    return F.aggregate(a, F.array().cast("array<double>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0.0)) + x)))
+    return F.aggregate(a, F.array().cast("array<double>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0.0)) + x)))
 
 
 def first_at_least(sums: Column, level: Column) -> Column:
@@ -68,14 +67,22 @@ def first_at_least(sums: Column, level: Column) -> Column:
     return F.size(F.filter(sums, lambda s: s < level))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once a row: the optimizer would put a column's expression in each place that names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def runs(flags: Column) -> Column:
     """[start, end) of the runs of true, as an array of structs, in order."""
-    n = F.size(flags)
-    index = F.sequence(F.lit(0), n)
-    at = lambda i: F.coalesce(F.get(flags, i), F.lit(False))
-    starts = F.filter(index, lambda i: at(i) & ~at(i - 1))
-    ends = F.filter(index, lambda i: ~at(i) & at(i - 1))
-    return F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), e.alias("end")))
+
+    def found(f: Column) -> Column:
+        index = F.sequence(F.lit(0), F.size(f))
+        at = lambda i: F.coalesce(F.get(f, i), F.lit(False))
+        starts = F.filter(index, lambda i: at(i) & ~at(i - 1))
+        ends = F.filter(index, lambda i: ~at(i) & at(i - 1))
+        return F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), e.alias("end")))
+
+    return let(flags, found)
 
 
 def argmax(a: Column) -> Column:
