@@ -83,4 +83,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_rules": op9,
     "op10_best_fit_packing": op10,
 }
-ORACLE_SQL: dict[str, str] = {}
+_PAGES = """SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages"""
+_BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  CAST(1 + list_sum(list_transform(range(5), lambda j: CAST(substr(bits, CAST(5 * i + j + 1 AS BIGINT), 1) AS INTEGER) << CAST(4 - j AS INTEGER))) AS BIGINT), 1)), '')"""
+_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc": f"""WITH p AS ({_PAGES}), b AS (SELECT *, CAST(CAST(unhex(sha) AS BIT) AS VARCHAR) AS bits, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM b""",
+    "op6_url_filter": f"""WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END AS rest FROM pages),
+s AS (SELECT page_id, regexp_extract(rest, '^[^/]*') AS h, substr(rest, length(regexp_extract(rest, '^[^/]*')) + 1) AS path FROM u),
+t AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM s),
+r(v, h, p) AS (VALUES {_RULES}),
+m AS (SELECT t.page_id, arg_max(struct_pack(rule := r.h || r.p, v := r.v), length(r.h || r.p)) AS best FROM t JOIN r ON (t.host = r.h OR ends_with(t.host, '.' || r.h)) AND starts_with(t.path, r.p) GROUP BY t.page_id)
+SELECT t.page_id, t.host, t.path, m.best.rule AS rule, coalesce(m.best.v, 'allow') AS verdict FROM t LEFT JOIN m USING (page_id)""",
+}
