@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, bounded_batches
 
 #: Words whose ids are remembered at a time (beyond, the memory starts anew), and bytes of text that are split at once.
-REMEMBERED_WORDS, TEXT_BYTES = 400_000, 1 << 20
+REMEMBERED_WORDS, TEXT_BYTES = 900_000, 1 << 20
 #: Latin letters, none of which normalising changes, and then marks that are never part of a contraction: the tokenizer cuts between the two.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?#*$%&|<>()\[\]{}+=/\\_\"@~^-]*)")
 _tokenizers: dict[str, "WordIds"] = {}
