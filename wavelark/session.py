@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 
 def session(app: str = "wavelark", master: str | None = None, **conf: str) -> SparkSession:
-    """A session in UTC with adaptive execution; `conf` uses underscores for dots in nothing: pass full keys with **{"spark.x": "y"}."""
+    """A session in UTC with adaptive execution."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
