@@ -32,9 +32,10 @@ def threshold_hits(waveforms: DataFrame, threshold: float = 10, left: int = 2, r
     if per_channel:
         df = with_channel_values(df, {k: {"__thr": float(v)} for k, v in per_channel.items()}, {"__thr": "double"})
         limit = F.coalesce("__thr", limit)
-    df = df.withColumn("__s", W.pulse(F.col("wave"), F.col("baseline"), F.col("polarity"))).withColumn("__t", limit)
-    df = df.withColumn("__f", F.transform("__s", lambda x: x >= F.col("__t"))).where(F.exists("__f", lambda x: x)).withColumn("__r", W.runs(F.col("__f")))
-    df = df.select("timestamp", "board", "channel", "record_id", "dt", "__s", F.explode("__r").alias("__r"))
+    df = df.withColumn("__t", limit)
+    both = lambda x: F.struct(x.alias("s"), W.runs(F.transform(x, lambda y: y >= F.col("__t"))).alias("r"))
+    df = df.withColumn("__g", W.let(W.pulse(F.col("wave"), F.col("baseline"), F.col("polarity")), both))
+    df = df.select("timestamp", "board", "channel", "record_id", "dt", F.col("__g.s").alias("__s"), F.explode("__g.r").alias("__r"))
     df = df.withColumn("edge_start", F.greatest(F.col("__r.start") - left, F.lit(0))).withColumn("edge_end", F.least(F.col("__r.end") + right, F.size("__s")))
     df = df.withColumn("__w", F.slice("__s", F.col("edge_start") + 1, F.col("edge_end") - F.col("edge_start"))).withColumn("position", (F.col("edge_start") + W.argmax(F.col("__w"))).cast("long"))
     step = F.col("dt").cast("double")
