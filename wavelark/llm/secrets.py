@@ -8,7 +8,7 @@ only if it looks live; base spans stay whatever their counts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage, text_or_empty
@@ -49,8 +49,8 @@ def scan_secrets(documents: DataFrame, owner_col: str = "source", repository_col
     """documents(doc_id, text, owner and repository columns, ...) -> a row per distinct (doc_id, text_hash, text of it) with its spans.
 
     Columns: doc_id, text_hash, rows (how many input rows are this document), found: array of
-    (start, kind, end, live, owners, repositories), by start, then kind. Offsets are code points, end
-    exclusive. Null text is empty. A null owner or repository counts as one of its own. Repeated rows
+    (start, kind, end, live, owners, repositories, covered), by start, then kind; covered: where the
+    spans before it end, at most. Offsets are code points, end exclusive. Null text is empty. A null owner or repository counts as one of its own. Repeated rows
     share a row here; a null doc_id is kept as such. Texts without a match have an empty array.
     """
     columns = {c: F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in {owner_col, *repository_cols}}
@@ -67,29 +67,24 @@ def scan_secrets(documents: DataFrame, owner_col: str = "source", repository_col
     owners = good.select("value", "owner").distinct().groupBy("value").agg(F.count("*").alias("owners"))
     repositories = good.select("value", "repository").distinct().groupBy("value").agg(F.count("*").alias("repositories"))
     rows = matched.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows"), F.first("c").alias("c"))
-    # Where a match starts: all gaps and matches before it, summed in one pass over the document's array.
-    zero = F.expr("named_struct('kind', -1, 'at', 0L, 'done', array_repeat(named_struct('start', 0L, 'kind', 0, 'end', 0L, 'value', 0L, 'ok', false), 0))")
-
-    def step(acc: Column, x: Column) -> Column:
-        start = F.when(acc["kind"] == x["kind"], acc["at"]).otherwise(F.lit(0).cast("long")) + x["gap"]
-        end = start + x["len"]
-        item = F.struct(start.alias("start"), x["kind"].alias("kind"), end.alias("end"), x["value"].alias("value"), x["ok"].alias("ok"))
-        return F.struct(x["kind"].alias("kind"), end.alias("at"), F.concat(acc["done"], F.array(item)).alias("done"))
-
-    placed = rows.select("doc_id", "text_hash", "rows", F.filter(F.aggregate("c", zero, step)["done"], lambda s: s["ok"]).alias("s"))
-    spans = placed.where(F.size("s") > 0).select("doc_id", "text_hash", F.explode("s").alias("s")).select("doc_id", "text_hash", "s.start", "s.kind", "s.end", "s.value")
+    # Where a match ends: all gaps and matches up to it, a running sum over the document's matches of a kind.
+    up_to = Window.partitionBy("doc_id", "text_hash", "kind").orderBy("n")
+    placed = rows.where(F.size("c") > 0).select("doc_id", "text_hash", F.explode("c").alias("c")).select("doc_id", "text_hash", "c.*").withColumn("end", F.sum(F.col("gap") + F.col("len")).over(up_to))
+    spans = placed.where("ok").select("doc_id", "text_hash", (F.col("end") - F.col("len")).alias("start"), "kind", "end", "value")
+    ahead = Window.partitionBy("doc_id", "text_hash").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
     judged = (
         spans.join(owners, "value")
         .join(repositories, "value")
         .withColumn("live", F.col("owners") < example_owners)
         .where((F.col("kind") < KINDS.index("live")) | F.col("live"))
+        .withColumn("covered", F.coalesce(F.max("end").over(ahead), F.lit(0)))
         .groupBy("doc_id", "text_hash")
-        .agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "live", "owners", "repositories"))).alias("found"))
+        .agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "live", "owners", "repositories", "covered"))).alias("found"))
         .withColumnRenamed("doc_id", "d")
         .withColumnRenamed("text_hash", "h")
     )
-    none = F.expr("array_repeat(named_struct('start', 0L, 'kind', 0, 'end', 0L, 'live', true, 'owners', 0L, 'repositories', 0L), 0)")
-    return placed.select("doc_id", "text_hash", "rows").join(judged, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left").select("doc_id", "text_hash", "rows", F.coalesce("found", none).alias("found"))
+    none = F.expr("array_repeat(named_struct('start', 0L, 'kind', 0, 'end', 0L, 'live', true, 'owners', 0L, 'repositories', 0L, 'covered', 0L), 0)")
+    return rows.select("doc_id", "text_hash", "rows").join(judged, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left").select("doc_id", "text_hash", "rows", F.coalesce("found", none).alias("found"))
 
 
 def _listed(found: Column) -> Column:
@@ -117,19 +112,11 @@ def secret_digest(documents: DataFrame, **options) -> DataFrame:
 
 def redact_secrets(documents: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
     """The documents with every span, overlapping ones as one, replaced by `mark`; n_chars follows where it is a column. Null texts stay null."""
-    zero = F.expr("array_repeat(named_struct('start', 0L, 'end', 0L), 0)")
-
-    def merge(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        item = F.struct(s["start"].alias("start"), s["end"].alias("end"))
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when(F.size(acc) == 0, F.array(item)).when(s["start"] < last["end"], joined).otherwise(F.concat(acc, F.array(item)))
-
-    spans = scan_secrets(documents, **options).where(F.size("found") > 0).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), F.aggregate("found", zero, merge).alias("__s"))
+    spans = scan_secrets(documents, **options).where(F.size("found") > 0).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), F.col("found").alias("__s"))
     text, s = F.col("text"), F.col("__s")
-    # Before each span: what follows the span before it; after the last one: the rest.
-    before = F.transform(s, lambda x, i: F.substring(text, F.coalesce(F.get(s, i - 1)["end"], F.lit(0)).cast("int") + 1, (x["start"] - F.coalesce(F.get(s, i - 1)["end"], F.lit(0))).cast("int")))
-    rest = F.substring(text, F.element_at(s, -1)["end"].cast("int") + 1, F.length(text))
+    # What stands between spans, before each that does not begin inside earlier ones; then the rest.
+    before = F.transform(F.filter(s, lambda x: x["start"] >= x["covered"]), lambda x: F.substring(text, x["covered"].cast("int") + 1, (x["start"] - x["covered"]).cast("int")))
+    rest = F.substring(text, F.array_max(F.transform(s, lambda x: x["end"])).cast("int") + 1, F.length(text))
     clean = F.when(s.isNull(), text).otherwise(F.concat(F.array_join(before, mark), F.lit(mark), rest))
     keyed = documents.withColumn("__key", F.xxhash64(text_or_empty()))
     out = keyed.join(spans, keyed["doc_id"].cast("long").eqNullSafe(F.col("__d")) & (keyed["__key"] == F.col("__h")), "left").withColumn("text", clean).drop("__d", "__h", "__s", "__key")
