@@ -7,7 +7,7 @@ own start (anchored, capped) are walked inside the stretches between gaps, many
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -129,6 +129,11 @@ def pair_events(events: DataFrame, window_ns: float = 100, n_channels: int = 2,
     return out.withColumns({f"{k}_ch{first_channel + i}": F.coalesce(F.get(f"{k}s", i).cast("double"), nan) for i in range(n_channels) for k in ("area", "height")})
 
 
+def pair_events_with(events: DataFrame, strategy: Callable[[DataFrame], DataFrame], **options) -> DataFrame:
+    """The same columns on the events that a rule of one's own leaves; its own window, if any, is the only one."""
+    return pair_events(strategy(events), **({"window_ns": float("inf")} | options))
+
+
 def contains_channels(events: DataFrame, targets: list[int]) -> DataFrame:
     """Events in which all target channels take part; no targets: all events."""
     return events.where(F.size(F.array_except(F.array(*[F.lit(t) for t in targets]).cast("array<bigint>"), F.col("channels").cast("array<bigint>"))) == 0) if targets else events

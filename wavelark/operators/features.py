@@ -129,3 +129,43 @@ def record_metrics(waveforms: DataFrame) -> DataFrame:
     df = waveforms.withColumn("__s", s)
     index = F.array_position("__s", F.array_min("__s")).cast("int") - 1
     return df.select("record_id", "timestamp", "board", "channel", (-F.array_min("__s")).alias("height"), (-W.total(F.col("__s"))).alias("area"), index.alias("peak_index"), F.get("wave", index).alias("peak_value"))
+
+
+def record_waves(waveforms: DataFrame, start: int | None = None, end: int | None = None, pad_to: int | None = None, baseline_correct: bool = False, record_ids: DataFrame | None = None) -> DataFrame:
+    """record_id, samples, mask: samples [start, end) of each record, cut to what it has, filled with zeros to pad_to; mask is true on samples.
+
+    record_ids: a table of them to look up, of which unknown ones have null samples.
+    """
+    x = F.transform("wave", lambda v: v.cast("double") - F.col("baseline")) if baseline_correct else F.col("wave")
+    kind = "double" if baseline_correct else waveforms.schema["wave"].dataType.elementType
+    out = waveforms.select("record_id", W.window(x, start or 0, end).alias("samples"))
+    n = F.size("samples")
+    more = F.greatest(F.lit(pad_to or 0) - n, F.lit(0))
+    padded = F.concat("samples", F.array_repeat(F.lit(0).cast(kind), more))
+    out = out.select("record_id", padded.alias("samples"), F.concat(F.array_repeat(F.lit(True), n), F.array_repeat(F.lit(False), more)).alias("mask"))
+    return out if record_ids is None else record_ids.select("record_id").join(out, "record_id", "left")
+
+
+def preview_features(waveforms: DataFrame, start: int = 40, end: int | None = 90) -> DataFrame:
+    """record_id, height, position, charge below the baseline over samples [start, end), whatever the polarity; NaN (position null) where a record has none of them."""
+    drop = F.transform(W.window(F.col("wave"), start, end), lambda v: F.col("baseline") - v)
+    out = waveforms.select("record_id", drop.alias("__d"))
+    some, nan = F.size("__d") > 0, F.lit(float("nan"))
+    return out.select(
+        "record_id",
+        F.when(some, F.array_max("__d")).otherwise(nan).alias("height"),
+        F.when(some, F.array_position("__d", F.array_max("__d")) - 1 + start).alias("position"),
+        F.when(some, W.total(F.col("__d"))).otherwise(nan).alias("charge"),
+    )
+
+
+def length_mismatches(waveforms: DataFrame, records: DataFrame) -> DataFrame:
+    """Rows of waveforms whose record is missing from records, or has another event_length there."""
+    known = records.select("record_id", F.col("event_length").alias("__n"), F.lit(True).alias("__known"))
+    joined = waveforms.join(known, "record_id", "left")
+    return joined.where(F.col("__known").isNull() | ~F.col("__n").eqNullSafe(F.size("wave"))).select("record_id", F.size("wave").alias("wave_length"), F.col("__n").alias("event_length"))
+
+
+def attach_by_record(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
+    """left with columns of right by record_id, null where right has no such record."""
+    return left.join(right.select("record_id", *columns), "record_id", "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,3 +176,52 @@ def merge_sorted(*frames: DataFrame, order: list[str]) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f)
     return out.orderBy(*order)
+
+
+def as_of(points: DataFrame, rows: DataFrame, point: str = "t", time: str = "time", order: list[str] | None = None, bucket: int | None = None) -> DataFrame:
+    """points, each with `found`: the last of rows (as a struct) that starts at or before it, null where there is none, and
+    `inside`: whether the point lies before that row's end (at its start, where it has no length).
+
+    Both sides are dealt by time buckets; the last row of a bucket is carried to the buckets after it by one
+    summary row each, so nothing is joined by range. Ties in time go to the later end, then to `order`.
+    """
+    rows = rows if END in rows.columns else with_endtime(rows, time)
+    b = bucket or default_bucket(rows, time)
+    keys = [time, END, *(order or [])]
+    row, asked = F.struct(*[F.col(c) for c in rows.columns]), F.struct(*[F.col(c) for c in points.columns])
+    stands = rows.select(F.col(time).cast("long").alias("__t"), F.lit(0).alias("__kind"), F.struct(*keys).alias("__key"), row.alias("__row"))
+    asks = points.select(F.col(point).cast("long").alias("__t"), F.lit(1).alias("__kind"), asked.alias("__ask"))
+    both = stands.unionByName(asks, allowMissingColumns=True).withColumn("__b", F.floor(F.col("__t") / b))
+    here = F.last("__row", ignorenulls=True).over(Window.partitionBy("__b").orderBy("__t", "__kind", "__key").rowsBetween(Window.unboundedPreceding, 0))
+    last = both.groupBy("__b").agg(F.max_by("__row", F.when(F.col("__kind") == 0, F.col("__key"))).alias("__l"))
+    before = F.last("__l", ignorenulls=True).over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    out = _join_small(both.withColumn("__here", here).where("__kind = 1"), last.select("__b", before.alias("__carry")), ["__b"])
+    out = out.select("__ask.*", F.coalesce("__here", "__carry").alias("found"))
+    t, start, end = F.col(point), F.col("found")[time], F.col("found")[END]
+    return out.withColumn("inside", F.coalesce((t < end) | (t == start) & (end == start), F.lit(False)))
+
+
+def between_instants(df: DataFrame, epoch_ns: int, start=None, end=None, ticks_per_ns: float = 1, time: str = "time") -> DataFrame:
+    """Rows that start in [start, end), instants given as aware datetimes; the rows' time counts ticks from epoch_ns."""
+
+    def ticks(at):
+        if at is None:
+            return None
+        whole = (at - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1) * 1000
+        return int((whole - epoch_ns) * ticks_per_ns)
+
+    return time_index(df, ticks(start), ticks(end), time)
+
+
+def by_hardware_channel(df: DataFrame) -> dict[tuple[int, int], DataFrame]:
+    """(board, channel) -> its rows, lazily; what reaches the driver is one row per channel."""
+    found = df.select("board", "channel").distinct().orderBy("board", "channel").collect()
+    return {(r.board, r.channel): df.where(F.col("board").eqNullSafe(r.board) & F.col("channel").eqNullSafe(r.channel)) for r in found}
+
+
+def by_channel(df: DataFrame) -> dict[int, DataFrame]:
+    """channel -> its rows, for data of board 0 alone; any other board is an error."""
+    split = by_hardware_channel(df)
+    if any(board != 0 for board, _ in split):
+        raise ValueError("rows of other boards than 0: split by board and channel")
+    return {channel: rows for (_, channel), rows in split.items()}

@@ -207,6 +207,36 @@ class Context:
             raise ValueError("no runs")
         return out
 
+    def time_range(self, run: str, name: str, start: int | None = None, end: int | None = None, axis: str = "raw_ps", channel: str | None = None) -> DataFrame:
+        """Rows of a dataset that start in [start, end) on an axis (raw_ps, or system_ns from time_ns, time or ps), of one "board:channel" if given."""
+        from pyspark.sql import functions as F
+
+        if axis not in ("raw_ps", "system_ns"):
+            raise ValueError("axis is raw_ps or system_ns")
+        df = self.get(run, name)
+        column = next((c for c in ("time_ns", "time") if c in df.columns), None) if axis == "system_ns" else "timestamp"
+        at = F.col(column) if column else F.expr("timestamp div 1000")
+        if start is not None:
+            df = df.where(at >= start)
+        if end is not None:
+            df = df.where(at < end)
+        if channel is not None:
+            board, _, number = channel.partition(":")
+            df = df.where((F.col("board") == int(board)) & (F.col("channel") == int(number)))
+        return df
+
+    def discover(self, group: str = "wavelark.nodes") -> list[str]:
+        """Registers the nodes that installed packages offer under an entry point: each a Node or a function that returns some."""
+        from importlib.metadata import entry_points
+
+        found = []
+        for point in entry_points(group=group):
+            item = point.load()
+            nodes = [item] if isinstance(item, Node) else list(item())
+            self.register(*nodes)
+            found += [n.provides for n in nodes]
+        return found
+
     def search(self, pattern: str) -> list[str]:
         return sorted(n for n in self.nodes if re.search(pattern, n, re.I))
 

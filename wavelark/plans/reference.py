@@ -6,6 +6,7 @@ with microseconds for ticks.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from ..operators import features as FE
 from ..operators import hits as H
 from ..operators import intervals as I
 from ..operators import signals as S
+from ..streaming.streams import clip_to_main, with_halo
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -385,6 +387,87 @@ def _(spark, d):
     return rounded(a.select(F.lit("before").alias("side")).unionByName(b.select(F.lit("after").alias("side"))).groupBy("side").agg(F.count("*").alias("n")))
 
 
+# ---- look-ups in time and by record -------------------------------------------------------------
+
+
+@query("as_of", f"WITH {IV_SQL}, p AS (SELECT event_id AS q, t + 1500000 AS t FROM h WHERE channel = 1) SELECT p.q, i.event_id AS found, CAST(i.endtime > p.t AS BOOLEAN) AS inside FROM p ASOF LEFT JOIN iv i ON p.t >= i.time")
+def _(spark, d):
+    rows = intervals(spark, d)
+    points = event_hits(spark, d).where("channel = 1").select(F.col("event_id").alias("q"), (F.col("timestamp") + 1_500_000).alias("t"))
+    return rounded(I.as_of(points, rows, order=["event_id"]).select("q", F.col("found.event_id").alias("found"), "inside"))
+
+
+@query("time_overlaps", f"WITH {IV_SQL} SELECT count(*) > 0 AS overlaps FROM iv WHERE endtime > {T0} AND time < {T1}")
+def _(spark, d):
+    return I.overlaps(intervals(spark, d), T0, T1)
+
+
+@query("between_instants", f"WITH {IV_SQL} SELECT event_id FROM iv WHERE time >= 1704153600000000 AND time < 1704240000000000")
+def _(spark, d):
+    utc = datetime.timezone.utc
+    return rounded(I.between_instants(intervals(spark, d), 0, datetime.datetime(2024, 1, 2, tzinfo=utc), datetime.datetime(2024, 1, 3, tzinfo=utc), 1e-3).select("event_id"))
+
+
+@query("rechunk", f"WITH {IV_SQL} SELECT event_id, CAST(floor((row_number() OVER (ORDER BY time, event_id) - 1) / 300) AS BIGINT) AS chunk FROM iv")
+def _(spark, d):
+    return rounded(I.rechunk(intervals(spark, d), 300, ["time", "event_id"]).select("event_id", "chunk"))
+
+
+@query("halo_chunks", f"WITH {IV_SQL}, c AS (SELECT *, unnest(range(time // 86400000000 - 1, time // 86400000000 + 2)) AS chunk FROM iv) SELECT chunk, count(*) AS rows, count(*) FILTER (WHERE chunk = time // 86400000000) AS main_rows, count(*) FILTER (WHERE endtime > chunk * 86400000000 AND time < (chunk + 1) * 86400000000) AS clipped FROM c WHERE time >= chunk * 86400000000 - 3600000000 AND time < (chunk + 1) * 86400000000 + 3600000000 GROUP BY chunk")
+def _(spark, d):
+    day, hour = 86_400_000_000, 3_600_000_000
+    rows = with_halo(I.with_endtime(intervals(spark, d)), day, hour, hour)
+    kept = clip_to_main(rows).groupBy("chunk").agg(F.count("*").alias("clipped"))
+    return rounded(rows.groupBy("chunk").agg(F.count("*").alias("rows"), F.count(F.when(F.col("is_main"), 1)).alias("main_rows")).join(kept, "chunk", "left").select("chunk", "rows", "main_rows", F.coalesce("clipped", F.lit(0)).alias("clipped")))
+
+
+@query("wave_window", f"WITH {WAVES_SQL} SELECT record_id, 20 AS n_samples, 14 AS n_real, round(list_sum(list_transform(wave[51:64], lambda x: x - baseline)), 4) AS total FROM v")
+def _(spark, d):
+    w = FE.record_waves(waveforms(spark, d), 50, 90, 20, True)
+    return rounded(w.select("record_id", F.size("samples").alias("n_samples"), F.size(F.filter("mask", lambda m: m)).alias("n_real"), W.total(F.col("samples")).alias("total")), 4)
+
+
+@query("wave_preview", f"WITH {WAVES_SQL}, x AS (SELECT record_id, list_transform(wave[41:64], lambda x: baseline - x) AS s FROM v) SELECT record_id, round(list_max(s), 4) AS height, CAST(list_position(s, list_max(s)) + 39 AS BIGINT) AS position, round(list_sum(s), 4) AS charge FROM x")
+def _(spark, d):
+    return rounded(FE.preview_features(waveforms(spark, d)), 4)
+
+
+@query("record_length_check", f"WITH {WAVES_SQL} SELECT record_id, len(wave) AS wave_length, CASE WHEN record_id % 11 <> 0 THEN event_length + 1 END AS event_length FROM v WHERE record_id % 11 = 0 OR record_id % 7 = 0")
+def _(spark, d):
+    w = waveforms(spark, d)
+    records = w.where("record_id % 11 <> 0").select("record_id", (F.col("event_length") + (F.col("record_id") % 7 == 0).cast("int")).alias("event_length"))
+    return rounded(FE.length_mismatches(w, records))
+
+
+@query("attach_by_record", f"WITH {WAVES_SQL} SELECT v.record_id, CASE WHEN v.channel < 5 THEN round(v.baseline, 4) END AS baseline FROM v")
+def _(spark, d):
+    w = waveforms(spark, d)
+    return rounded(FE.attach_by_record(w.select("record_id"), w.where("channel < 5"), ["baseline"]), 4)
+
+
+@query("paired_by_rule", f"{_EVENTS} SELECT event_id, n_hits FROM en WHERE n_hits = 2")
+def _(spark, d):
+    return rounded(C.pair_events_with(_events(spark, d), lambda e: e.where("n_hits = 2")).select("event_id", "n_hits"))
+
+
+@query("merged_components", f"{_CLUSTERS} SELECT cluster_index AS merged_index, count(*) AS components, min(hit_index) AS first_hit FROM m GROUP BY 1")
+def _(spark, d):
+    return rounded(C.merged_components(_clusters(spark, d)).groupBy("merged_index").agg(F.count("*").alias("components"), F.min("hit_index").alias("first_hit")))
+
+
+@query("merged_windows", f"{_CLUSTERS} SELECT cluster_index, min(s0) AS abs_start, max(e0) AS abs_end FROM m GROUP BY 1 HAVING min(record_id) <> max(record_id)")
+def _(spark, d):
+    c = _clusters(spark, d)
+    merged = C.merged_hits(c)
+    return rounded(C.repair_windows(merged, C.merged_components(c), _indexed_hits(spark, d)).where("sample_start < 0").select("cluster_index", "abs_start", "abs_end"))
+
+
+@query("merge_sorted", f"WITH {HITS_SQL} SELECT event_id, channel FROM h WHERE channel IN (1, 3, 5)")
+def _(spark, d):
+    h = event_hits(spark, d)
+    return rounded(I.merge_sorted(*[h.where(F.col("channel") == k) for k in (1, 3, 5)], order=["timestamp", "board", "channel"]).select("event_id", "channel"))
+
+
 # ---- beyond SQL: checked against NumPy in the tests ---------------------------------------------
 
 

@@ -88,3 +88,19 @@ def preview(rows: DataFrame, channel: int, start: int, end: int, by: str = "even
     if by == "timestamp":
         return df.where((F.col("timestamp") >= start) & (F.col("timestamp") < end))
     return df.orderBy("timestamp").offset(start).limit(max(0, end - start))
+
+
+def wave_length(lines: DataFrame, fmt: Format) -> DataFrame:
+    """One row: samples of the shortest and longest record, and how many records there are."""
+    n = F.size("wave")
+    return parse_lines(lines, fmt).agg(F.min(n).alias("shortest"), F.max(n).alias("longest"), F.count("*").alias("records"))
+
+
+def runs_overview(spark: SparkSession, root: str, layout: str = "vx2730") -> DataFrame:
+    """One row per run below root: files, channels, bytes, first and last change of a file. Only the list of files is read."""
+    rule = layouts.get(layout)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", rule.glob).load(f"{root}/{rule.folder.format(run='*')}").select("path", "length", "modificationTime")
+    depth = -2 - rule.folder.count("/")
+    channel, _ = _place(F.col("path"), rule)
+    named = files.select(F.element_at(F.split("path", "/"), depth).alias("run_id"), channel.alias("channel"), "length", "modificationTime").where("channel is not null")
+    return named.groupBy("run_id").agg(F.count("*").alias("file_count"), F.count_distinct("channel").alias("channels"), F.sum("length").alias("bytes"), F.min("modificationTime").alias("first_modified"), F.max("modificationTime").alias("last_modified"))

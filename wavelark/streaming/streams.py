@@ -53,6 +53,12 @@ def with_halo(rows: DataFrame, chunk: int, left: int, right: int, time: str = "t
     return out.withColumns({"main_start": F.col("chunk") * chunk, "main_end": (F.col("chunk") + 1) * chunk, "is_main": F.col("chunk") == k})
 
 
+def clip_to_main(rows: DataFrame, strict: bool = False, time: str = "time", end: str = "endtime") -> DataFrame:
+    """Results of halo chunks that overlap their main range (strict: lie in it); each of the others is its neighbour's."""
+    lies = (F.col(time) >= F.col("main_start")) & (F.col(end) <= F.col("main_end")) if strict else (F.col(end) > F.col("main_start")) & (F.col(time) < F.col("main_end"))
+    return rows.where(lies)
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str, output_mode: str = "append") -> None:
     """Writes all that is there now to Parquet and stops; a later call goes on from the checkpoint."""
     stream.writeStream.format("parquet").outputMode(output_mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
