@@ -70,3 +70,15 @@ def test_recall_falls_short_only_if_said(spark):
     points = spark.createDataFrame([(0, 1, np.ones(4).tobytes()), (1, 2, np.ones(4).tobytes())], "cid long, n long, vec binary")
     assert embed_graph.audit_recall(points, spark.createDataFrame([], "a long, b long, links long"), 0.9) == 0.0
     assert embed_graph.audit_recall(points, spark.createDataFrame([(0, None, 2), (1, None, 1)], "a long, b long, links long"), 0.9) == pytest.approx(1.0)
+
+
+def test_points_outside_the_fit_sample_find_their_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(embed_graph, "CENTROID_POINTS", 10)
+    monkeypatch.setattr(embed_graph, "SAMPLE", 400)
+    rng = np.random.default_rng(3)
+    a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in rng.normal(size=(2, 1200, 64)))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.905 * a + np.sqrt(1 - 0.905**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    rows = [(i, v.astype("f4").tolist()) for i, v in enumerate(np.concatenate((a, b)))]
+    got = run(spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA))
+    assert sum(g[1] for g in got) >= 0.95 * 2400

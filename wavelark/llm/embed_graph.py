@@ -6,8 +6,11 @@ of a member are pruned so that those kept point in different directions (robust
 random members for long steps; the lists that a point gets in its two shards are united. The search
 visits the nearest shards of every point: from the shard's medoid (and the point itself, where it is a
 member) greedily to its surroundings, then on through everything within the range until nothing new
-is found. Found pairs are verified in double precision. A bounded sample of points is compared with
-all others; where recall falls short, the search is repeated wider.
+is found. Found pairs are verified in double precision. A bounded sample of points, outside the one that
+centroids were fitted on as far as there are such, is compared with all others. Where its neighbours are
+at home says how many shards a point must visit: that number is measured, not fixed. Of these, a point
+leaves out only those that can be home to nothing within its range. Where recall falls short, the
+search is repeated wider.
 
 A large cluster is split into shards of bounded size by hash, all of which a query near it visits. A
 shard returns counts and a forest of links, never the pairs.
@@ -32,6 +35,8 @@ SAMPLE, MAX_CENTROIDS, CENTROID_POINTS, SHARD_POINTS = 20_000, 4096, 1000, 4000
 DEGREE, CANDIDATES, RANDOM, ALPHA = 32, 48, 12, 1.2
 #: Points whose links are found by brute force for the audit, and the recall below which the search is widened.
 AUDIT, MIN_RECALL = 256, 0.95
+#: Share of the audited points' links that the first round's visits must lead to.
+ROUTED = 0.98
 
 _POINT = "shard int, cid long, home boolean, member boolean, query boolean, n long, low long, vec binary"
 
@@ -147,7 +152,14 @@ def range_search(vectors: np.ndarray, adjacency: np.ndarray, queries: np.ndarray
         yield r + lo, i
 
 
-def _assign(points: DataFrame, centers: np.ndarray, overlap: int, visits: int) -> DataFrame:
+def possible(sims: np.ndarray, centers: np.ndarray, near: np.ndarray, at_least: float) -> np.ndarray:
+    """Whether each of the clusters `near` (nearest first) can be home to a point within the range: none is if it lies wholly beyond the border to the nearest centroid's half-space."""
+    apart = np.linalg.norm(centers[near] - centers[near[:, :1]], axis=2)
+    s = np.take_along_axis(sims, near, axis=1)
+    return s[:, :1] - s <= apart * np.sqrt(max(0.0, 1 - max(0.0, at_least) ** 2)) + 1e-9
+
+
+def _assign(points: DataFrame, centers: np.ndarray, overlap: int, visits: int, at_least: float) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
@@ -157,9 +169,11 @@ def _assign(points: DataFrame, centers: np.ndarray, overlap: int, visits: int) -
             sims = unit @ centers.T
             near = np.argpartition(-sims, m - 1, axis=1)[:, :m]
             near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sims, near, axis=1), axis=1, kind="stable"), axis=1)
+            use = np.concatenate([possible(sims[i : i + 256], centers, near[i : i + 256], at_least) for i in range(0, len(near), 256)])
+            use[:, :overlap] = True
             for k in range(m):
-                out = pdf.copy()
-                out.insert(0, "cluster", near[:, k].astype(np.int32))
+                out = pdf[use[:, k]].copy()
+                out.insert(0, "cluster", near[use[:, k], k].astype(np.int32))
                 out["rank"] = k
                 yield out[["cluster", "rank", "cid", "n", "low", "vec"]]
 
@@ -210,7 +224,7 @@ def _search(pdf: pd.DataFrame, lists: pd.DataFrame, at_least: float, beam: int)
 
 def _links(points: DataFrame, centers: np.ndarray, at_least: float, visits: int, beam: int) -> tuple[DataFrame, list[str]]:
     """(a, b, links) rows of all shards, staged."""
-    assigned, assigned_at = stage(_assign(points, centers, 2, visits), "assigned")
+    assigned, assigned_at = stage(_assign(points, centers, 2, visits, at_least), "assigned")
     sizes = {r.cluster: r.n for r in assigned.where("rank < 2").groupBy("cluster").agg(F.count("*").alias("n")).collect()}
     parts = [max(1, -(-sizes.get(k, 0) // SHARD_POINTS)) for k in range(len(centers))]
     first = np.concatenate(([0], np.cumsum(parts)[:-1])).tolist()
@@ -229,26 +243,55 @@ def _links(points: DataFrame, centers: np.ndarray, at_least: float, visits: int,
     return out, [assigned_at, routed_at, united_at, out_at]
 
 
-def audit_recall(points: DataFrame, found: DataFrame, at_least: float) -> float:
-    """Links that were found of the AUDIT first points by hash, over those that brute force finds; 1 where there are none."""
-    asked = points.orderBy(F.xxhash64("cid"), "cid").limit(AUDIT).select("cid", "n", "vec").toPandas()
-    if not len(asked):
-        return 1.0
+def audit_points(points: DataFrame, size: int, fitted: int | None) -> pd.DataFrame:
+    """cid, n, vec of `size` points in an order of their own; those outside the fit sample (hashes up to `fitted`) come first."""
+    inside = F.lit(False) if fitted is None else F.xxhash64("cid") <= fitted
+    return points.orderBy(inside, F.xxhash64("cid", F.lit("audit")), "cid").limit(size).select("cid", "n", "vec").toPandas()
+
+
+def true_links(points: DataFrame, at_least: float, centers: np.ndarray | None = None, fitted: int | None = None) -> pd.DataFrame:
+    """a, rank, there: links (copies counted) that brute force finds of the audited points, by the place of the neighbours' home cluster among a's nearest."""
+    asked = audit_points(points, AUDIT, fitted)
     unit, ids = _unit(_vectors(asked["vec"])), asked["cid"].to_numpy()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(ids), np.int64)
+        own = None if centers is None else unit @ centers.T
         for pdf in batches:
-            if len(pdf):
-                hit = (unit @ _unit(_vectors(pdf["vec"])).T >= at_least) & (ids[:, None] != pdf["cid"].to_numpy()[None, :])
-                total += hit @ pdf["n"].to_numpy()
-        yield pd.DataFrame({"a": ids, "there": total})
+            for lo in range(0, len(pdf), 1024):
+                part = pdf.iloc[lo : lo + 1024]
+                v, n = _unit(_vectors(part["vec"])), part["n"].to_numpy()
+                q, i = np.nonzero((unit @ v.T >= at_least - 1e-6) & (ids[:, None] != part["cid"].to_numpy()[None, :]))
+                ok = np.einsum("rd,rd->r", unit[q], v[i]) >= at_least
+                q, i = q[ok], i[ok]
+                rank = np.zeros(len(q), np.int64)
+                if own is not None:
+                    home = np.argmax(v @ centers.T, axis=1)
+                    at = np.unique(np.stack((q, home[i])), axis=1)
+                    place = {(a, h): int((own[a] > own[a, h]).sum()) for a, h in at.T.tolist()}
+                    rank = np.array([place[x] for x in zip(q.tolist(), home[i].tolist(), strict=True)], np.int64)
+                yield pd.DataFrame({"a": ids[q], "rank": rank, "there": n[i]}).groupby(["a", "rank"], as_index=False).sum()
 
-    true = points.select("cid", "n", "vec").mapInPandas(count, "a long, there long").groupBy("a").agg(F.sum("there").alias("there")).where("there > 0").toPandas()
+    if not len(asked):
+        return pd.DataFrame({"a": [], "rank": [], "there": []}, dtype="int64")
+    return points.select("cid", "n", "vec").mapInPandas(count, "a long, rank long, there long").groupBy("a", "rank").agg(F.sum("there").alias("there")).toPandas()
+
+
+def visits_needed(true: pd.DataFrame) -> int:
+    """Nearest clusters that are home to ROUTED of the audited points' links, averaged over the points."""
     if not len(true):
+        return 1
+    share = (true["there"] / true.groupby("a")["there"].transform("sum")).groupby(true["rank"]).sum().sort_index().cumsum() / true["a"].nunique()
+    return int(share.index[int(np.argmax(share.to_numpy() >= ROUTED - 1e-9))]) + 1
+
+
+def audit_recall(points: DataFrame, found: DataFrame, at_least: float, true: pd.DataFrame | None = None) -> float:
+    """Links that were found of the audited points, over those that brute force finds; 1 where there are none."""
+    true = true_links(points, at_least) if true is None else true
+    there = true.groupby("a")["there"].sum()
+    if not len(there):
         return 1.0
-    got = {r.a: r.links for r in found.where(F.col("b").isNull() & F.col("a").isin([int(a) for a in true["a"]])).groupBy("a").agg(F.sum("links").alias("links")).collect()}
-    return sum(min(t, got.get(a, 0)) for a, t in zip(true["a"], true["there"], strict=True)) / true["there"].sum()
+    got = {r.a: r.links for r in found.where(F.col("b").isNull() & F.col("a").isin([int(a) for a in there.index])).groupBy("a").agg(F.sum("links").alias("links")).collect()}
+    return sum(min(t, got.get(a, 0)) for a, t in there.items()) / there.sum()
 
 
 def embedding_near_dedup(embeddings: DataFrame, at_least: float = 0.9, visits: int = 3, beam: int = 32) -> DataFrame:
@@ -268,12 +311,14 @@ def embedding_near_dedup(embeddings: DataFrame, at_least: float = 0.9, visits: i
     for size in lengths:
         points = classes.where(F.octet_length("vec") == size)
         total = points.count()
-        sample = _unit(_vectors(points.orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).select("vec").toPandas()["vec"]))
-        centers, wide, reach = fit_centroids(sample, total), visits, beam
+        sample = points.select(F.xxhash64("cid").alias("h"), "cid", "vec").orderBy("h", "cid").limit(SAMPLE).toPandas()
+        centers, fitted = fit_centroids(_unit(_vectors(sample["vec"])), total), int(sample["h"].iloc[-1])
+        true = true_links(points, at_least, centers, fitted)
+        wide, reach = max(visits, visits_needed(true)), beam
         while True:
             links, more = _links(points.repartition(parallelism(spark)), centers, at_least, wide, reach)
             paths += more
-            if wide >= 4 * visits or audit_recall(points, links, at_least) >= MIN_RECALL:
+            if wide >= 4 * max(visits, visits_needed(true)) or audit_recall(points, links, at_least, true) >= MIN_RECALL:
                 break
             wide, reach = 2 * wide, 2 * reach
         found = links if found is None else found.unionByName(links)
