@@ -82,3 +82,16 @@ def test_points_outside_the_fit_sample_find_their_neighbours(spark, monkeypatch)
     rows = [(i, v.astype("f4").tolist()) for i, v in enumerate(np.concatenate((a, b)))]
     got = run(spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA))
     assert sum(g[1] for g in got) >= 0.95 * 2400
+
+
+def test_search_that_stays_short_ends_exact_or_fails(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(100, 16))
+    rows = [(i, v.astype("f4").tolist()) for i, v in enumerate(np.concatenate((base, base + 0.1 * rng.normal(size=(100, 16)))))]
+    df, links = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA), embed_graph._links
+    monkeypatch.setattr(embed_graph, "_links", lambda *a: (links(*a)[0].where("false"), []))
+    monkeypatch.setattr(embed_graph, "BLOCK_POINTS", 60, raising=False)
+    assert run(df) == brute(rows)
+    monkeypatch.setattr(embed_graph, "audit_recall", lambda *a: 0.0)
+    with pytest.raises(RuntimeError):
+        run(df)

@@ -9,8 +9,9 @@ member) greedily to its surroundings, then on through everything within the rang
 is found. Found pairs are verified in double precision. A bounded sample of points, outside the one that
 centroids were fitted on as far as there are such, is compared with all others. Where its neighbours are
 at home says how many shards a point must visit: that number is measured, not fixed. Of these, a point
-leaves out only those that can be home to nothing within its range. Where recall falls short, the
-search is repeated wider.
+leaves out only those that can be home to nothing within its range. Every round is audited: where recall
+falls short, the search is repeated wider, in the end as a comparison of all points with all, which is
+exact; if even that falls short, it is an error.
 
 A large cluster is split into shards of bounded size by hash, all of which a query near it visits. A
 shard returns counts and a forest of links, never the pairs.
@@ -35,6 +36,8 @@ SAMPLE, MAX_CENTROIDS, CENTROID_POINTS, SHARD_POINTS = 20_000, 4096, 1000, 4000
 DEGREE, CANDIDATES, RANDOM, ALPHA = 32, 48, 12, 1.2
 #: Points whose links are found by brute force for the audit, and the recall below which the search is widened.
 AUDIT, MIN_RECALL = 256, 0.95
+#: Queries a shard may get on average before a wider search becomes the exact one, and points of its blocks.
+QUERY_ROWS, BLOCK_POINTS = 100_000, 20_000
 #: Share of the audited points' links that the first round's visits must lead to.
 ROUTED = 0.98
 
@@ -243,6 +246,37 @@ def _links(points: DataFrame, centers: np.ndarray, at_least: float, visits: int,
     return out, [assigned_at, routed_at, united_at, out_at]
 
 
+def exact_links(points: DataFrame, at_least: float) -> tuple[DataFrame, list[str]]:
+    """(a, b, links) rows by brute force, staged: all points pass by one block of them after another."""
+    blocks = max(1, -(-points.count() // BLOCK_POINTS))
+    out, paths = None, []
+    for block in range(blocks):
+        held = points.where(F.pmod(F.xxhash64("cid", F.lit("block")), F.lit(blocks)) == block).select("cid", "n", "vec").toPandas()
+        if not len(held):
+            continue
+        unit, ids, weight = _unit(_vectors(held["vec"])), held["cid"].to_numpy(), held["n"].to_numpy()
+
+        def compare(batches: Iterator[pd.DataFrame], unit=unit, ids=ids, weight=weight) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for lo in range(0, len(pdf), 512):
+                    cid, v = pdf["cid"].to_numpy()[lo : lo + 512], _unit(_vectors(pdf["vec"].iloc[lo : lo + 512]))
+                    q, i = np.nonzero((v @ unit.T >= at_least - 1e-6) & (cid[:, None] != ids[None, :]))
+                    ok = np.concatenate([np.einsum("rd,rd->r", v[q[k : k + 100_000]], unit[i[k : k + 100_000]]) >= at_least for k in range(0, len(q), 100_000)] or [np.zeros(0, bool)])
+                    q, i = q[ok], i[ok]
+                    links, union = np.zeros(len(cid), np.int64), Union(len(cid) + len(ids))
+                    np.add.at(links, q, weight[i])
+                    union.link(q, i + len(cid))
+                    name = np.concatenate((cid, ids))
+                    found, tied = np.flatnonzero(links), np.flatnonzero(union.label != np.arange(len(name)))
+                    yield pd.DataFrame({"a": cid[found], "b": pd.array([None] * len(found), "Int64"), "links": links[found]})
+                    yield pd.DataFrame({"a": name[tied], "b": pd.array(name[union.label[tied]], "Int64"), "links": 0})
+
+        part, path = stage(points.select("cid", "vec").mapInPandas(compare, "a long, b long, links long"), "links")
+        out = part if out is None else out.unionByName(part)
+        paths.append(path)
+    return out, paths
+
+
 def audit_points(points: DataFrame, size: int, fitted: int | None) -> pd.DataFrame:
     """cid, n, vec of `size` points in an order of their own; those outside the fit sample (hashes up to `fitted`) come first."""
     inside = F.lit(False) if fitted is None else F.xxhash64("cid") <= fitted
@@ -314,12 +348,17 @@ def embedding_near_dedup(embeddings: DataFrame, at_least: float = 0.9, visits: i
         sample = points.select(F.xxhash64("cid").alias("h"), "cid", "vec").orderBy("h", "cid").limit(SAMPLE).toPandas()
         centers, fitted = fit_centroids(_unit(_vectors(sample["vec"])), total), int(sample["h"].iloc[-1])
         true = true_links(points, at_least, centers, fitted)
-        wide, reach = max(visits, visits_needed(true)), beam
+        wide, reach = max(visits, min(visits_needed(true), QUERY_ROWS * len(centers) // total)), beam
+        spread, exact = points.repartition(parallelism(spark)), False
         while True:
-            links, more = _links(points.repartition(parallelism(spark)), centers, at_least, wide, reach)
+            links, more = exact_links(spread, at_least) if exact else _links(spread, centers, at_least, wide, reach)
             paths += more
-            if wide >= 4 * max(visits, visits_needed(true)) or audit_recall(points, links, at_least, true) >= MIN_RECALL:
+            recall = audit_recall(points, links, at_least, true)
+            if recall >= MIN_RECALL:
                 break
+            if exact:
+                raise RuntimeError(f"audited recall {recall:.4f} is below {MIN_RECALL} after a comparison of all points")
+            exact = wide >= len(centers) or 2 * wide * total > QUERY_ROWS * len(centers)
             wide, reach = 2 * wide, 2 * reach
         found = links if found is None else found.unionByName(links)
     if found is None:
