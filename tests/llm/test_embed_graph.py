@@ -95,3 +95,14 @@ def test_search_that_stays_short_ends_exact_or_fails(spark, monkeypatch):
     monkeypatch.setattr(embed_graph, "audit_recall", lambda *a: 0.0)
     with pytest.raises(RuntimeError):
         run(df)
+
+
+def test_recall_of_small_groups_is_not_hidden_by_a_hot_one(spark):
+    rng = np.random.default_rng(5)
+    hot, pairs = rng.normal(size=16), np.repeat(rng.normal(size=(20, 16)), 2, axis=0)
+    vecs = np.concatenate((hot + 0.01 * rng.normal(size=(80, 16)), pairs + 0.01 * rng.normal(size=(40, 16))))
+    points = spark.createDataFrame([(i, 1000 if i < 80 else 1, v.tobytes()) for i, v in enumerate(vecs)], "cid long, n long, vec binary")
+    found = spark.createDataFrame([(i, None, 79_000) for i in range(80)], "a long, b long, links long")
+    assert embed_graph.audit_recall(points, found, 0.9) < embed_graph.MIN_RECALL
+    # The pairs are a twentieth of the linked points: their loss shows only in the figure outside the largest cluster.
+    assert embed_graph.audit_recall(points.where("cid < 84"), found, 0.9) == 0.0

@@ -9,7 +9,8 @@ member) greedily to its surroundings, then on through everything within the rang
 is found. Found pairs are verified in double precision. A bounded sample of points, outside the one that
 centroids were fitted on as far as there are such, is compared with all others. Where its neighbours are
 at home says how many shards a point must visit: that number is measured, not fixed. Of these, a point
-leaves out only those that can be home to nothing within its range. Every round is audited: where recall
+leaves out only those that can be home to nothing within its range. Recall is averaged over points that
+have links, over all of them and over those outside the largest cluster, and both must do. Every round is audited: where recall
 falls short, the search is repeated wider, in the end as a comparison of all points with all, which is
 exact; if even that falls short, it is an error.
 
@@ -36,6 +37,8 @@ SAMPLE, MAX_CENTROIDS, CENTROID_POINTS, SHARD_POINTS = 20_000, 4096, 1000, 4000
 DEGREE, CANDIDATES, RANDOM, ALPHA = 32, 48, 12, 1.2
 #: Points whose links are found by brute force for the audit, and the recall below which the search is widened.
 AUDIT, MIN_RECALL = 256, 0.95
+#: Linked points outside the largest cluster that the audit looks for, and the most points it asks for them.
+ENOUGH, MAX_AUDIT = 32, 4096
 #: Queries a shard may get on average before a wider search becomes the exact one, and points of its blocks.
 QUERY_ROWS, BLOCK_POINTS = 100_000, 20_000
 #: Share of the audited points' links that the first round's visits must lead to.
@@ -246,6 +249,17 @@ def _links(points: DataFrame, centers: np.ndarray, at_least: float, visits: int,
     return out, [assigned_at, routed_at, united_at, out_at]
 
 
+def _at_least(a: np.ndarray, b: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray, at_least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row of a, row of b) of different ids within the range; at its very border decided as the search does."""
+    sims = a @ b.T
+    q, i = np.nonzero((sims >= at_least - 1e-6) & (a_ids[:, None] != b_ids[None, :]))
+    ok, edge = sims[q, i] >= at_least, np.flatnonzero(sims[q, i] < at_least + 1e-6)
+    for lo in range(0, len(edge), 100_000):
+        k = edge[lo : lo + 100_000]
+        ok[k] = np.einsum("rd,rd->r", a[q[k]], b[i[k]]) >= at_least
+    return q[ok], i[ok]
+
+
 def exact_links(points: DataFrame, at_least: float) -> tuple[DataFrame, list[str]]:
     """(a, b, links) rows by brute force, staged: all points pass by one block of them after another."""
     blocks = max(1, -(-points.count() // BLOCK_POINTS))
@@ -258,11 +272,9 @@ def exact_links(points: DataFrame, at_least: float) -> tuple[DataFrame, list[str
 
         def compare(batches: Iterator[pd.DataFrame], unit=unit, ids=ids, weight=weight) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                for lo in range(0, len(pdf), 512):
-                    cid, v = pdf["cid"].to_numpy()[lo : lo + 512], _unit(_vectors(pdf["vec"].iloc[lo : lo + 512]))
-                    q, i = np.nonzero((v @ unit.T >= at_least - 1e-6) & (cid[:, None] != ids[None, :]))
-                    ok = np.concatenate([np.einsum("rd,rd->r", v[q[k : k + 100_000]], unit[i[k : k + 100_000]]) >= at_least for k in range(0, len(q), 100_000)] or [np.zeros(0, bool)])
-                    q, i = q[ok], i[ok]
+                for lo in range(0, len(pdf), 128):
+                    cid, v = pdf["cid"].to_numpy()[lo : lo + 128], _unit(_vectors(pdf["vec"].iloc[lo : lo + 128]))
+                    q, i = _at_least(v, unit, cid, ids, at_least)
                     links, union = np.zeros(len(cid), np.int64), Union(len(cid) + len(ids))
                     np.add.at(links, q, weight[i])
                     union.link(q, i + len(cid))
@@ -284,9 +296,30 @@ def audit_points(points: DataFrame, size: int, fitted: int | None) -> pd.DataFra
 
 
 def true_links(points: DataFrame, at_least: float, centers: np.ndarray | None = None, fitted: int | None = None) -> pd.DataFrame:
-    """a, rank, there: links (copies counted) that brute force finds of the audited points, by the place of the neighbours' home cluster among a's nearest."""
-    asked = audit_points(points, AUDIT, fitted)
-    unit, ids = _unit(_vectors(asked["vec"])), asked["cid"].to_numpy()
+    """a, rank, there, largest: links (copies counted) that brute force finds of the audited points, by the place of the neighbours' home cluster among a's nearest.
+
+    largest: whether a is in the largest cluster of audited points. More points are asked while few
+    that have links are outside it.
+    """
+    size = AUDIT
+    while True:
+        asked = audit_points(points, size, fitted)
+        true = _true_links(points, asked, at_least, centers)
+        unit = _unit(_vectors(asked["vec"])) if len(asked) else np.zeros((0, 1))
+        union = Union(len(asked))
+        for lo in range(0, len(asked), 256):
+            q, i = np.nonzero(unit[lo : lo + 256] @ unit.T >= at_least)
+            union.link(q + lo, i)
+        sizes = np.bincount(union.label, minlength=1)
+        inside = asked["cid"][union.label == np.argmax(sizes)] if sizes.max() > 1 else []
+        true["largest"] = true["a"].isin(inside)
+        if true.loc[~true["largest"], "a"].nunique() >= ENOUGH or size >= MAX_AUDIT or len(asked) < size:
+            return true
+        size = min(MAX_AUDIT, 4 * size)
+
+
+def _true_links(points: DataFrame, asked: pd.DataFrame, at_least: float, centers: np.ndarray | None) -> pd.DataFrame:
+    unit, ids = _unit(_vectors(asked["vec"])) if len(asked) else None, asked["cid"].to_numpy()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = None if centers is None else unit @ centers.T
@@ -294,15 +327,13 @@ def true_links(points: DataFrame, at_least: float, centers: np.ndarray | None =
             for lo in range(0, len(pdf), 1024):
                 part = pdf.iloc[lo : lo + 1024]
                 v, n = _unit(_vectors(part["vec"])), part["n"].to_numpy()
-                q, i = np.nonzero((unit @ v.T >= at_least - 1e-6) & (ids[:, None] != part["cid"].to_numpy()[None, :]))
-                ok = np.einsum("rd,rd->r", unit[q], v[i]) >= at_least
-                q, i = q[ok], i[ok]
+                q, i = _at_least(unit, v, ids, part["cid"].to_numpy(), at_least)
                 rank = np.zeros(len(q), np.int64)
                 if own is not None:
                     home = np.argmax(v @ centers.T, axis=1)
-                    at = np.unique(np.stack((q, home[i])), axis=1)
-                    place = {(a, h): int((own[a] > own[a, h]).sum()) for a, h in at.T.tolist()}
-                    rank = np.array([place[x] for x in zip(q.tolist(), home[i].tolist(), strict=True)], np.int64)
+                    key, which = np.unique(q * len(centers) + home[i], return_inverse=True)
+                    place = [int((own[a] > own[a, h]).sum()) for a, h in zip(key // len(centers), key % len(centers), strict=True)]
+                    rank = np.array(place, np.int64)[which]
                 yield pd.DataFrame({"a": ids[q], "rank": rank, "there": n[i]}).groupby(["a", "rank"], as_index=False).sum()
 
     if not len(asked):
@@ -311,21 +342,25 @@ def true_links(points: DataFrame, at_least: float, centers: np.ndarray | None =
 
 
 def visits_needed(true: pd.DataFrame) -> int:
-    """Nearest clusters that are home to ROUTED of the audited points' links, averaged over the points."""
-    if not len(true):
-        return 1
-    share = (true["there"] / true.groupby("a")["there"].transform("sum")).groupby(true["rank"]).sum().sort_index().cumsum() / true["a"].nunique()
-    return int(share.index[int(np.argmax(share.to_numpy() >= ROUTED - 1e-9))]) + 1
+    """Nearest clusters that are home to ROUTED of the audited points' links, averaged over the points: all, and those outside the largest cluster."""
+    need = 1
+    for part in (true, true[~true["largest"]]):
+        if len(part):
+            share = (part["there"] / part.groupby("a")["there"].transform("sum")).groupby(part["rank"]).sum().sort_index().cumsum() / part["a"].nunique()
+            need = max(need, int(share.index[int(np.argmax(share.to_numpy() >= ROUTED - 1e-9))]) + 1)
+    return need
 
 
 def audit_recall(points: DataFrame, found: DataFrame, at_least: float, true: pd.DataFrame | None = None) -> float:
-    """Links that were found of the audited points, over those that brute force finds; 1 where there are none."""
+    """Share of its links that was found of an audited point, on average over those that brute force finds links of: over all or over those outside the largest cluster, whichever is less; 1 where there are none."""
     true = true_links(points, at_least) if true is None else true
-    there = true.groupby("a")["there"].sum()
-    if not len(there):
+    if not len(true):
         return 1.0
-    got = {r.a: r.links for r in found.where(F.col("b").isNull() & F.col("a").isin([int(a) for a in there.index])).groupBy("a").agg(F.sum("links").alias("links")).collect()}
-    return sum(min(t, got.get(a, 0)) for a, t in there.items()) / there.sum()
+    each = true.groupby("a").agg(there=("there", "sum"), largest=("largest", "first"))
+    got = {r.a: r.links for r in found.where(F.col("b").isNull() & F.col("a").isin([int(a) for a in each.index])).groupBy("a").agg(F.sum("links").alias("links")).collect()}
+    share = np.array([min(t, got.get(a, 0)) / t for a, t in each["there"].items()])
+    outside = share[~each["largest"].to_numpy()]
+    return float(min(share.mean(), outside.mean() if len(outside) else 1.0))
 
 
 def embedding_near_dedup(embeddings: DataFrame, at_least: float = 0.9, visits: int = 3, beam: int = 32) -> DataFrame:
