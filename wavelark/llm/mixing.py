@@ -63,7 +63,11 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
 
 
 def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """(shards, sources) blocks for each shard, summing to the quotas; the same for the same seed."""
+    """(shards, sources) blocks for each shard, summing to the quotas; the same for the same seed.
+
+    A node of 1,000,000,000 blocks or more is split in proportion, rounded, instead of drawn: NumPy's
+    sampler ends there. Its shards then get no random deal; the quotas are met all the same.
+    """
     out = np.zeros((shards, len(quotas)), np.int64)
 
     def node(lo: int, hi: int, have: np.ndarray) -> None:
