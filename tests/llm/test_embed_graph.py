@@ -106,3 +106,31 @@ def test_recall_of_small_groups_is_not_hidden_by_a_hot_one(spark):
     assert embed_graph.audit_recall(points, found, 0.9) < embed_graph.MIN_RECALL
     # The pairs are a twentieth of the linked points: their loss shows only in the figure outside the largest cluster.
     assert embed_graph.audit_recall(points.where("cid < 84"), found, 0.9) == 0.0
+
+
+def test_levels_of_centroids_and_parts_by_hash(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    hot = rng.normal(size=64)
+    vecs = [hot + 0.35 * rng.normal(size=64) for _ in range(500)] + [x + s * rng.normal(size=64) for x in rng.normal(size=(150, 64)) for s in (0, 0.1, 0.2)]
+    rows = [(i, v.astype("f4").tolist()) for i, v in enumerate(vecs)]
+    df, want = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA), brute(rows)
+    monkeypatch.setattr(embed_graph, "MAX_CENTROIDS", 4)
+    monkeypatch.setattr(embed_graph, "CENTROID_POINTS", 20)
+    monkeypatch.setattr(embed_graph, "SHARD_POINTS", 60)
+    monkeypatch.setattr(embed_graph, "SLICE_QUERIES", 100)
+    for levels in (6, 1):
+        monkeypatch.setattr(embed_graph, "LEVELS", levels)
+        rows, recalls = embed_graph.audited_near_dedup(df)
+        got = sorted((tuple(r) for r in rows.collect()), key=str)
+        assert min(recalls.values()) >= 0.95 and all(g[1] <= w[1] for w, g in zip(want, got, strict=True))
+        assert sum(g[1] for g in got) >= 0.95 * sum(w[1] for w in want)
+        assert np.mean([w[2] == g[2] for w, g in zip(want, got, strict=True)]) > 0.97
+
+
+def test_clusters_within_the_range_as_a_whole_are_counted_from_summaries(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    hot = rng.normal(size=32)
+    vecs = [hot + 0.02 * rng.normal(size=32) for _ in range(300)] + list(rng.normal(size=(300, 32)))
+    rows = [(i, v.astype("f4").tolist()) for i, v in enumerate(vecs)]
+    monkeypatch.setattr(embed_graph, "CENTROID_POINTS", 50)
+    assert run(spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)) == brute(rows)
