@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import types as T
 
 from wavelark.llm import simhash
-from wavelark.llm.simhash import build_top, fingerprint, keep_one, link_forest, route, simhash_near_dedup
+from wavelark.llm.simhash import build_top, deal, fingerprint, keep_one, link_forest, plan_shards, route, simhash_near_dedup
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("fp", T.StringType()), T.StructField("low", T.LongType())])
 
@@ -69,6 +69,11 @@ def test_tree_loses_no_link(n, spread):
     tree = build_top(points[::3], len(points), 200)
     who, where, home = route(tree, points, 4)
     assert home.sum() == len(points)
+    shards = 1 + int(where.max())
+    tasks = defaultdict(lambda: ([], []))
+    for shard, part, slice_, which, own in deal(tree, np.full(shards, 2), 1 + np.arange(shards) % 3, points, 4):
+        for key, w in zip(zip(shard.tolist(), part.tolist(), slice_.tolist(), strict=True), which.tolist(), strict=True):
+            tasks[key][0 if own else 1].append(w)
     parent = {int(p): int(p) for p in points}
 
     def root(x):
@@ -76,8 +81,8 @@ def test_tree_loses_no_link(n, spread):
             x = parent[x]
         return x
 
-    for s in np.unique(where):
-        a, b = link_forest(points[who[where == s]], home[where == s], 4)
+    for mine, others in tasks.values():
+        a, b = link_forest(points[np.array(mine, int)], points[np.array(others, int)], 4)
         for x, y in zip(a.tolist(), b.tolist(), strict=True):
             parent[root(x)] = root(y)
     i, j = np.nonzero(np.bitwise_count(points[:, None] ^ points[None, :]) <= 4)
@@ -98,3 +103,22 @@ def test_tree_loses_no_link(n, spread):
 def test_fingerprint_equals_plain_definition():
     for t in ("", "A b", "a b c d", "É b C d e f g " * 9, "\x0ba\x1fb c d e f"):
         assert fingerprint(t.encode()) == plain(t)
+
+
+@pytest.mark.parametrize("total", [10**6, 10**8])
+def test_tasks_stay_bounded(total):
+    rng = np.random.default_rng(2)
+    tree, parts, slices = plan_shards(np.sort(rng.integers(0, 2**64, min(simhash.SAMPLE_MOST, total // 1000), dtype=np.uint64)), total, 4)
+    points = rng.integers(0, 2**64, 20_000, dtype=np.uint64)
+    _, where, home = route(tree, points, 4)
+    own, all_ = (np.bincount(x, minlength=len(parts)) * (total / len(points)) for x in (where[home], where))
+    noise = 6 * np.sqrt(total / len(points))
+    assert (own / parts <= 2 * simhash.SHARD_POINTS * 1.5 + noise * np.sqrt(own / parts)).all()
+    assert (all_ / slices <= simhash.SLICE_POINTS * 1.5 + noise * np.sqrt(all_ / slices)).all()
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b c d e", 5, 6), (2, "a b c d e", 7, 8), (2, "a b c d e", 9, 9), (3, "q r s t u v w x", 1, 2)], "doc_id long, text string, kept_id int, `__text_hash` int")
+    assert sorted(map(tuple, keep_one(df).collect())) == [(1, "a b c d e", 5, 6), (3, "q r s t u v w x", 1, 2)]
+    again = df.where("doc_id = 2")
+    assert keep_one(again).count() == 1 and keep_one(df.limit(0)).collect() == [] and keep_one(df).columns == df.columns

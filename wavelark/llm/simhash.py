@@ -6,8 +6,14 @@ whose bands lie within the radius of its own distances can hold a link of it, an
 (of two shards the later one only, so each pair meets once). In a shard the tree goes on in memory
 until blocks are small enough to compare every pair exactly.
 
-Equal fingerprints are one node from the start. A shard returns a forest of links, at most one a
+Equal fingerprints are one node from the start. A shard that the tree leaves too large is cut by hash,
+and its visitors come in slices: a task compares one part of a shard's own fingerprints with one slice
+of visitors, both of bounded size however many there are. It returns a forest of links, at most one a
 node, never the pairs: connectivity is whole, and thousands of near copies give thousands of rows.
+
+Bands of Hamming distance prune little at 4 of 64 bits (distances of unlike texts lie close together), so
+what a fingerprint visits grows with the number of shards and pairs compared with a power of about 1.7 of
+the fingerprints. Memory of a task does not grow.
 """
 
 from __future__ import annotations
@@ -20,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Union, as_bytes, bounded_batches, parallelism, remove, stage
+from .common import Union, as_bytes, bounded_batches, columns_of, fresh, mix64, parallelism, remove, stage
 from .components import connected_components
 
-#: Fingerprints that the top of the tree is fitted on, at most; points a shard should hold, at most, and shards aimed at.
-#: A fingerprint visits most of the shards, so there are as few as memory and spread over executors allow.
-SAMPLE, SHARD_POINTS, SHARDS = 8192, 250_000, 8
+#: Fingerprints that the top of the tree is fitted on: one of so many, at least and at most.
+SAMPLE_SHARE, SAMPLE_LEAST, SAMPLE_MOST = 100, 4096, 262_144
+#: Own fingerprints of a task, and visitors that it compares them with, aimed at.
+SHARD_POINTS, SLICE_POINTS = 60_000, 60_000
 #: Pairs that one block compares at once.
 BLOCK_PAIRS = 1 << 20
 
@@ -120,8 +127,9 @@ def route(tree, points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray
     return who[keep], where[keep], home[keep].astype(bool)
 
 
-def link_forest(points: np.ndarray, lives: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a shard as (point, another of its component): points that live here against all that are here."""
+def link_forest(own: np.ndarray, visitors: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between own points and visitors as (point, another of its component)."""
+    points = np.concatenate((own, visitors))
     union = Union(len(points))
 
     def compare(p: np.ndarray, q: np.ndarray) -> None:
@@ -130,7 +138,8 @@ def link_forest(points: np.ndarray, lives: np.ndarray, radius: int) -> tuple[np.
             rows = p[k : k + step]
             i, j = np.nonzero(np.bitwise_count(points[rows][:, None] ^ points[q][None, :]) <= radius)
             a, b = rows[i], q[j]
-            union.link(a[a != b], b[a != b])
+            differ = union.label[a] != union.label[b]
+            union.link(a[differ], b[differ])
 
     def node(p: np.ndarray, q: np.ndarray, depth: int) -> None:
         if not len(p) or not len(q):
@@ -145,31 +154,61 @@ def link_forest(points: np.ndarray, lives: np.ndarray, radius: int) -> tuple[np.
         for lo, hi in bands:
             node(p[(dp >= lo) & (dp <= hi)], q[(dq >= lo - radius) & (dq <= hi + radius)], depth + 1)
 
-    node(np.flatnonzero(lives), np.arange(len(points)), 0)
-    other = union.label
-    linked = np.flatnonzero(other != np.arange(len(points)))
-    return points[linked], points[other[linked]]
+    node(np.arange(len(own)), len(own) + np.arange(len(visitors)), 0)
+    other = points[union.label]
+    linked = other != points
+    return points[linked], other[linked]
+
+
+def plan_shards(sample: np.ndarray, total: int, radius: int) -> tuple[list, np.ndarray, np.ndarray]:
+    """The tree; for each shard the parts that its own points are cut into, and the slices its visitors come in, as the sample says."""
+    tree = build_top(sample, total, SHARD_POINTS)
+    _, where, home = route(tree, sample, radius)
+    shards = 1 + int(where.max(initial=0))
+    scale = total / max(1, len(sample))
+    own, all_ = np.bincount(where[home], minlength=shards) * scale, np.bincount(where, minlength=shards) * scale
+    return tree, np.maximum(1, np.ceil(own / (2 * SHARD_POINTS))).astype(np.int64), np.maximum(1, np.ceil(all_ / SLICE_POINTS)).astype(np.int64)
+
+
+def deal(tree: list, parts: np.ndarray, slices: np.ndarray, points: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """(shard, part, slice, number of the point, whether it is own there) of all tasks that the points belong to."""
+    who, where, home = route(tree, points, radius)
+    hashed = mix64(points)
+    part = lambda w, s: ((hashed[w] >> np.uint64(20)) % parts[s].astype(np.uint64)).astype(np.int64)
+    slice_ = lambda w, s: ((hashed[w] >> np.uint64(40)) % slices[s].astype(np.uint64)).astype(np.int64)
+
+    def spread(n: np.ndarray, w: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        each = np.repeat(np.arange(len(w)), n[s])
+        return w[each], s[each], np.arange(len(each)) - np.repeat(np.cumsum(n[s]) - n[s], n[s])
+
+    w, s, p = spread(parts, who, where)
+    yield s, p, slice_(w, s), w, False
+    w, s, c = spread(slices, who[home], where[home])
+    yield s, part(w, s), c, w, True
 
 
 def fingerprint_links(nodes: DataFrame, radius: int = 4) -> DataFrame:
     """nodes(fp), distinct -> edges(a, b) that connect what pairs of at most `radius` differing bits connect."""
     total = nodes.count()
-    sample = np.array([r.fp for r in nodes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    tree = build_top(sample, total, min(SHARD_POINTS, max(2000, total // SHARDS)))
+    want = min(SAMPLE_MOST, max(SAMPLE_LEAST, total // SAMPLE_SHARE))
+    picked = nodes.where(F.pmod(F.xxhash64("fp"), F.lit(max(1, total // want))) == 0)
+    tree, parts, slices = plan_shards(np.sort(picked.toPandas()["fp"].to_numpy(np.int64).view(np.uint64)), total, radius)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             points = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for k in range(0, len(points), 20_000):
-                part = points[k : k + 20_000]
-                who, where, home = route(tree, part, radius)
-                yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int32)), pa.array(part[who].view(np.int64)), pa.array(home)], ["shard", "fp", "home"])
+                some = points[k : k + 20_000]
+                for shard, part, slice_, who, own in deal(tree, parts, slices, some, radius):
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in (shard, part, slice_)), pa.array(some[who].view(np.int64)), pa.array(np.full(len(who), own))], ["shard", "part", "slice", "fp", "own"])
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = link_forest(pdf["fp"].to_numpy().view(np.uint64), pdf["home"].to_numpy(), radius)
+        points, own = pdf["fp"].to_numpy().view(np.uint64), pdf["own"].to_numpy()
+        a, b = link_forest(points[own], points[~own], radius)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return nodes.repartition(parallelism(nodes.sparkSession)).mapInArrow(send, "shard int, fp long, home boolean").groupBy("shard").applyInPandas(join, "a long, b long")
+    sent = nodes.repartition(parallelism(nodes.sparkSession)).mapInArrow(send, "shard int, part int, slice int, fp long, own boolean")
+    return sent.groupBy("shard", "part", "slice").applyInPandas(join, "a long, b long")
 
 
 def simhash_near_dedup(documents: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -193,11 +232,19 @@ def simhash_near_dedup(documents: DataFrame, shingle: int = 4, radius: int = 4)
 
 
 def keep_one(documents: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """The document of the smallest doc_id (then text hash; nulls last) of each group, with all its columns."""
+    """One document of each group, with all its columns: that of the smallest doc_id (then text hash; nulls last).
+
+    Of rows that repeat that doc_id and text one stays. Null and blank texts are a group like any other.
+    An empty table gives no row. Columns of any names pass through.
+    """
     groups = simhash_near_dedup(documents, shingle, radius)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
-    kept, _ = stage(groups.groupBy("component").agg(first.alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash")), "kept")
-    keyed = documents.withColumn("__text_hash", F.xxhash64("text"))
-    out = keyed.join(kept, keyed["doc_id"].cast("long").eqNullSafe(kept["kept_id"]) & (keyed["__text_hash"] == kept["kept_hash"]), "left_semi")
-    repeats = keyed.groupBy("doc_id", "__text_hash").count().where("count > 1").limit(1).count()
-    return (out.dropDuplicates(["doc_id", "__text_hash"]) if repeats else out).drop("__text_hash")
+    each = groups.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("copies"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "copies"))
+    id_, hash_, copies, key = fresh(documents, "kept_id", "kept_hash", "copies", "key")
+    kept, _ = stage(each.groupBy("component").agg(first.alias("k")).select(F.col("k.doc_id").alias(id_), F.col("k.text_hash").alias(hash_), F.col("k.copies").alias(copies)), "kept")
+    keyed = documents.withColumn(key, F.xxhash64("text"))
+    out = keyed.join(kept, keyed["doc_id"].cast("long").eqNullSafe(kept[id_]) & (keyed[key] == kept[hash_]))
+    if kept.where(F.col(copies) > 1).isEmpty():
+        return out.select(*columns_of(documents))
+    once = out.where(F.col(copies) > 1).dropDuplicates([id_, hash_])
+    return out.where(F.col(copies) == 1).unionByName(once).select(*columns_of(documents))
