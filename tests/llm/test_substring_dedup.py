@@ -3,6 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import types as T
 
+from wavelark.llm import substring_dedup as substring_dedup_module
 from wavelark.llm.substring_dedup import substring_dedup
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("chunk", T.StringType()), T.StructField("bucket", T.LongType())])
@@ -60,3 +61,15 @@ def test_spans_and_text(spark):
     assert got[2].removed_spans == [[1, 31]] and got[2].kept_text == "a b" and got[1].kept_text == text
     with pytest.raises(ValueError):
         substring_dedup(df, window=5)
+
+
+def test_more_chunks_than_buckets(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    monkeypatch.setattr(substring_dedup_module, "BUCKET_HASHES", 50)
+    want = sorted(tuple(r)[:4] for r in substring_dedup(df).collect())
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "8")
+    try:
+        got = substring_dedup(df, chunk_bytes=8000)
+        assert sorted(tuple(r)[:4] for r in got.collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.maxBuckets")

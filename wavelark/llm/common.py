@@ -93,10 +93,6 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def total_bytes(df: DataFrame, text_col: str) -> int:
-    return df.agg(F.sum(F.octet_length(text_col)).alias("b")).first()["b"] or 0
-
-
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -117,14 +113,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def window_hashes(word_hash: np.ndarray, length: int, salt: int) -> np.ndarray:
+def window_hashes(word_hash: np.ndarray, length: int, salt: int, multiplier: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """Hash of every run of `length` words, over the whole array (runs across documents are the caller's to mask)."""
     n = len(word_hash) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.full(n, np.uint64(salt))
     for k in range(length):
-        out *= np.uint64(0x9E3779B97F4A7C15)
+        out *= np.uint64(multiplier)
         out += word_hash[k : k + n]
     return mix64(out)
 

@@ -6,10 +6,16 @@ always holds one whole indexed block of its earlier copy, so a probe with no ans
 out. Probes that hit are extended to the windows around them, whose full hashes decide which copy
 comes first; runs of repeated windows are the maximal repeats, and their words go.
 
-The corpus lies in a bucketed table of small chunks in document order. Three passes read it; between
-them only hash buckets travel: for each chunk and bucket one packed, sorted list in which a hash
-occurs once however often the chunk has it, and one bit a hash on the way back. A passage that a
-third of all documents share is therefore one entry a chunk, and no pair of its copies is formed.
+The corpus lies in a bucketed table in document order: parts, as many as a bucketed table may have at
+most, and in these small chunks, so that what a task holds is a chunk however large the corpus. Three
+passes read it; between them only hash buckets travel: for each chunk and bucket one packed, sorted list
+in which a hash occurs once however often the chunk has it, and one bit a hash on the way back. A passage
+that a third of all documents share is therefore one entry a chunk, and no pair of its copies is formed.
+Buckets grow in number with the corpus, so that none holds more than a bounded number of hashes; lists
+get shorter for it, and beyond some terabytes what travels tends to a row for every few hashes.
+
+A probe that finds a block by 64 bits only makes a candidate. Whether two windows are equal is decided
+by 128 bits: two hashes of the word sequence, under multipliers of their own.
 """
 
 from __future__ import annotations
@@ -22,10 +28,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import group_starts, new_path, pack, pack_sorted, parallelism, released_shuffles, remove, stage, text_or_empty, total_bytes, unpack, unpack_sorted, window_hashes
+from .common import group_starts, new_path, pack, pack_sorted, parallelism, released_shuffles, remove, stage, text_or_empty, unpack, unpack_sorted, window_hashes
 
-_SENT = "bucket int, chunk int, keys binary, more binary"
-_MARKS = "chunk int, kind int, bucket int, bits binary"
+#: Hashes in a bucket, aimed at; bytes of text for which about one hash is sent; chunks of a part, at most.
+BUCKET_HASHES, BYTES_PER_HASH, PART_CHUNKS = 4_000_000, 6, 1 << 20
+_SENT = "bucket int, chunk long, keys binary, more binary, other binary"
+_MARKS = "chunk long, kind int, bucket int, bits binary"
+_ONE_KEY = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
 class _Chunk:
@@ -67,7 +76,7 @@ class _Chunk:
         return zip(bucket[first].tolist(), first.tolist(), np.append(first, len(bucket))[1:].tolist(), strict=True)
 
     def candidates(self, hit: np.ndarray, at: np.ndarray, which: np.ndarray):
-        """Starts of the whole windows that hold a hit; their distinct hashes, ascending; each one's first start here; for each start its hash's number."""
+        """Starts of the whole windows that hold a hit; their distinct hashes, ascending, and the other 64 bits of each; each one's first start here; for each start its hash's number."""
         n = len(self.hashes)
         count = np.zeros(n + self.window + 1, np.int64)
         count[at[hit[which]] + 1] = 1
@@ -76,11 +85,13 @@ class _Chunk:
         start = start[start + self.window <= self.end_of[start]]
         start = start[count[start + self.block + 1] > count[start]]
         h = window_hashes(self.hashes, self.window, 20)[start]
-        order = np.argsort(h, kind="stable")
-        first = group_starts(h[order])
+        g = window_hashes(self.hashes, self.window, 21, 0xD1342543DE82EF95)[start]
+        order = np.lexsort((g, h))
+        first = np.flatnonzero(np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])))) if len(h) else np.zeros(0, np.int64)
         number = np.empty(len(start), np.int64)
         number[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(start)))
-        return start, h[order][first], start[order][first], number
+        lowest = np.minimum.reduceat(start[order], first) if len(first) else start
+        return start, h[order][first], g[order][first], lowest, number
 
 
 def _send_probes(pdf: pd.DataFrame, window: int, log_buckets: int) -> pd.DataFrame:
@@ -89,8 +100,8 @@ def _send_probes(pdf: pd.DataFrame, window: int, log_buckets: int) -> pd.DataFra
     chunk = int(pdf["chunk"].iloc[0])
     rows = []
     for b, i, j in c.bounds((keys >> np.uint64(32)).astype(np.int64)):
-        rows.append((b, chunk, pack_sorted((keys[i:j] & np.uint64(0xFFFFFFFF)).astype(np.uint32)), np.packbits(np.concatenate((indexed[i:j], again[i:j]))).tobytes()))
-    return pd.DataFrame(rows, columns=["bucket", "chunk", "keys", "more"])
+        rows.append((b, chunk, pack_sorted((keys[i:j] & np.uint64(0xFFFFFFFF)).astype(np.uint32)), np.packbits(np.concatenate((indexed[i:j], again[i:j]))).tobytes(), None))
+    return pd.DataFrame(rows, columns=["bucket", "chunk", "keys", "more", "other"])
 
 
 def _answer_probes(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -137,22 +148,22 @@ def _extended(pdf: pd.DataFrame, marks: pd.DataFrame, window: int, log_buckets:
 def _send_windows(pdf: pd.DataFrame, marks: pd.DataFrame, window: int, log_buckets: int) -> pd.DataFrame:
     rows = []
     if len(pdf):
-        c, (_, h, first, _) = _extended(_ordered(pdf), marks, window, log_buckets)
+        c, (_, h, other, first, _) = _extended(_ordered(pdf), marks, window, log_buckets)
         chunk = int(pdf["chunk"].iloc[0])
         for b, i, j in c.bounds(c._bucket(h)):
-            rows.append((b, chunk, pack_sorted(h[i:j]), pack(first[i:j].astype(np.uint32))))
-    return pd.DataFrame(rows, columns=["bucket", "chunk", "keys", "more"])
+            rows.append((b, chunk, pack_sorted(h[i:j]), pack(first[i:j].astype(np.uint32)), other[i:j].tobytes()))
+    return pd.DataFrame(rows, columns=["bucket", "chunk", "keys", "more", "other"])
 
 
 def _answer_windows(pdf: pd.DataFrame) -> pd.DataFrame:
     """One bit a window hash: whether its first start in that chunk is the first of all."""
     keys = [unpack_sorted(k, np.uint64) for k in pdf["keys"]]
     sizes = [len(k) for k in keys]
-    place = np.concatenate([np.uint64(c << 32) + unpack(m, np.uint32).astype(np.uint64) for c, m in zip(pdf["chunk"].tolist(), pdf["more"], strict=True)])
-    key = np.concatenate(keys)
-    order = np.lexsort((place, key))
+    place = np.concatenate([unpack(m, np.uint32) for m in pdf["more"]])
+    key, other, chunk = np.concatenate(keys), np.frombuffer(b"".join(pdf["other"]), np.uint64), np.repeat(pdf["chunk"].to_numpy(), sizes)
+    order = np.lexsort((place, chunk, other, key))
     first = np.zeros(len(key), bool)
-    first[order[group_starts(key[order])]] = True
+    first[order[np.concatenate(([True], (key[order][1:] != key[order][:-1]) | (other[order][1:] != other[order][:-1])))]] = True
     return pd.DataFrame({"chunk": pdf["chunk"], "kind": 2, "bucket": pdf["bucket"], "bits": [np.packbits(x).tobytes() for x in np.split(first, np.cumsum(sizes)[:-1])]})
 
 
@@ -160,7 +171,7 @@ def _cut(pdf: pd.DataFrame, marks: pd.DataFrame, window: int, log_buckets: int,
     if not len(pdf):
         return pd.DataFrame({"doc_id": pd.Series(dtype="Int64"), "n_words": pd.Series(dtype="int64"), "n_removed": pd.Series(dtype="int64"), "kept_sha256": pd.Series(dtype="object"), "removed_spans": pd.Series(dtype="object"), "kept_text": pd.Series(dtype="object")})
     pdf = _ordered(pdf)
-    c, (start, h, first, number) = _extended(pdf, marks, window, log_buckets)
+    c, (start, h, _, first, number) = _extended(pdf, marks, window, log_buckets)
     is_first = _marked(marks, 2, c.bounds(c._bucket(h)), len(h))
     repeated = start[~(is_first[number] & (first[number] == start))]
     step = np.zeros(len(c.hashes) + 1, np.int64)
@@ -191,36 +202,51 @@ def substring_dedup(documents: DataFrame, window: int = 20, chunk_bytes: int = 4
     kept_text (with_text only, else null) is the rest joined by spaces. One row per input row.
 
     Null text has no words. A null doc_id precedes all others; rows of one doc_id count in the order
-    of their text hashes, so of repeated rows the first keeps its words and the others lose them.
-    Other columns are ignored, whatever their names. Documents shorter than a window keep all. An
-    even window of 4 words or more is asked for. Equality of blocks and windows is that of 64-bit hashes.
+    of their text hashes, so of repeated rows the first keeps its words and the others lose them. An empty
+    table gives no row. Other columns are ignored, whatever their names. Documents shorter than a window
+    keep all. An even window of 4 words or more is asked for. Equality of windows is that of 128 bits of hash.
     """
     if window < 4 or window % 2:
         raise ValueError("window must be an even number of 4 words or more")
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    chunks = max(1, -(-total_bytes(docs, "text") // chunk_bytes), min(parallelism(spark), 8))
-    log_buckets = max(4, (4 * parallelism(spark) - 1).bit_length())
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    chunks = max(1, -(-size // chunk_bytes), min(parallelism(spark), 8))
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+    parts = min(chunks, most)
+    chunk_rows = max(1, -(-n // chunks)) if parts < chunks else max(1, n)
+    log_buckets = min(30, max(4, (4 * parallelism(spark) - 1).bit_length(), (size // (BYTES_PER_HASH * BUCKET_HASHES)).bit_length()))
     table, where = f"wavelark_{uuid.uuid4().hex}", new_path(spark, "chunks")
-    ranged = docs.withColumns({"text_hash": F.xxhash64("text"), "no_id": F.col("doc_id").isNull()}).repartitionByRange(chunks, F.col("doc_id").asc_nulls_first(), "text_hash")
-    with released_shuffles(spark):
-        ranged.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "no_id", "text_hash", "text", F.spark_partition_id().alias("chunk")).write.bucketBy(max(chunks, parallelism(spark)), "chunk").option("compression", "zstd").option("path", where).saveAsTable(table)
-    rows = spark.table(table)
-    hits, hits_at = stage(
-        rows.select("chunk", "doc_id", "no_id", "text_hash", "text").groupBy("chunk").applyInPandas(lambda pdf: _send_probes(pdf, window, log_buckets), _SENT).groupBy("bucket").applyInPandas(_answer_probes, _MARKS),
-        "hits",
-    )
-    firsts, firsts_at = stage(
-        rows.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInPandas(lambda a, b: _send_windows(a, b, window, log_buckets), _SENT).groupBy("bucket").applyInPandas(_answer_windows, _MARKS),
-        "firsts",
-    )
-    result, _ = stage(
-        rows.groupBy("chunk").cogroup(hits.unionByName(firsts).groupBy("chunk")).applyInPandas(
-            lambda a, b: _cut(a, b, window, log_buckets, with_text),
-            "doc_id long, n_words long, n_removed long, kept_sha256 string, removed_spans array<array<long>>, kept_text string",
-        ),
-        "substring",
-    )
-    spark.sql(f"DROP TABLE {table}")
-    remove(spark, where, hits_at, firsts_at)
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text_hash")]
+    ranged = docs.withColumns({"text_hash": F.xxhash64("text"), "no_id": F.col("doc_id").isNull()}).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # Rows are numbered within their partition: as many as a chunk has make the next chunk of the part.
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    chunk = F.spark_partition_id().cast("long") * PART_CHUNKS + F.least(F.floor(row / chunk_rows), F.lit(PART_CHUNKS - 1))
+    paths, one_key = [where], spark.conf.get(_ONE_KEY)
+    key = ["part", "chunk"]
+    try:
+        with released_shuffles(spark):
+            ranged.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "no_id", "text_hash", "text", F.spark_partition_id().alias("part"), chunk.alias("chunk")).write.bucketBy(min(most, max(parts, parallelism(spark))), "part").option("compression", "zstd").option("path", where).saveAsTable(table)
+        # Buckets are by part: marks go to the texts, not the other way, if that one key is enough.
+        spark.conf.set(_ONE_KEY, "false")
+        rows = spark.table(table)
+        marked = lambda marks: marks.withColumn("part", F.floor(F.col("chunk") / PART_CHUNKS).cast("int"))
+        hits, hits_at = stage(rows.groupBy(*key).applyInPandas(lambda pdf: _send_probes(pdf, window, log_buckets), _SENT).groupBy("bucket").applyInPandas(_answer_probes, _MARKS), "hits")
+        paths.append(hits_at)
+        firsts, firsts_at = stage(
+            rows.groupBy(*key).cogroup(marked(hits).groupBy(*key)).applyInPandas(lambda a, b: _send_windows(a, b, window, log_buckets), _SENT).groupBy("bucket").applyInPandas(_answer_windows, _MARKS),
+            "firsts",
+        )
+        paths.append(firsts_at)
+        result, _ = stage(
+            rows.groupBy(*key).cogroup(marked(hits.unionByName(firsts)).groupBy(*key)).applyInPandas(
+                lambda a, b: _cut(a, b, window, log_buckets, with_text),
+                "doc_id long, n_words long, n_removed long, kept_sha256 string, removed_spans array<array<long>>, kept_text string",
+            ),
+            "substring",
+        )
+    finally:
+        spark.conf.set(_ONE_KEY, one_key)
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        remove(spark, *paths)
     return result
