@@ -69,3 +69,16 @@ def test_redaction(spark):
     text = {r.doc_id: r.text for r in got.collect()}
     assert text[0] is None and text[1] == "" and text[3] == "[SECRET]' é\U0001f600 [SECRET]" and text[2] == "token=secret: abcdefghijklmnop" and text[7] == "[SECRET]" and text[90] == "Cd4" * 9
     assert text[12] == " ".join(["[SECRET]"] * 300)
+
+
+def test_owners_and_repositories_count_apart(spark):
+    a, b, c = "Ab3" * 9, "Cd4" * 9, "Ef5" * 9
+    rows = [(i, a, "one", f"l{i}", "", 0) for i in range(7)] + [(10 + i, b, "one", f"l{i}", "", 0) for i in range(2)] + [(20 + i, c, s, "en", "", 0) for i, s in enumerate((None, "null", "=x"))]
+    got = {r.doc_id: (r.spans, r.n_live, r.most_owners, r.most_repositories) for r in secret_digest(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[0] == ("", 0, None, None) and got[10] == ("live:0:27", 1, 1, 2) and got[20] == ("", 0, None, None)
+
+
+def test_redaction_with_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "token=abcdefghijklmnop", "s", "en", 1, 2)] * 2, "doc_id long, text string, source string, lang string, `__key` int, found_id int")
+    assert [tuple(r) for r in redact_secrets(df).collect()] == [(1, "[SECRET]", "s", "en", 1, 2)] * 2
+    assert redact_secrets(df.limit(0)).collect() == []
