@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import fresh
 from .embed_graph import embedding_near_dedup
 from .line_rules import clean_lines
 from .mixing import mix_digest
@@ -64,7 +65,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_lines(_table(spark, sf_dir, "documents")).select("doc_id", "rules.*")
+    documents = _table(spark, sf_dir, "documents")
+    (rules,) = fresh(documents, "rules")
+    return clean_lines(documents, rules_col=rules).select("doc_id", f"{rules}.*")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
