@@ -48,3 +48,10 @@ def test_fullest_bin_closes_first():
     bins = BestFit(10, 2)
     assert [bins.place(x) for x in (6, 7, 8)] == [(0, 0), (1, 0), (2, 0)]  # the bin of 2 free closes
     assert bins.place(3) == (1, 7) and bins.place(2) == (0, 6) and bins.place(10) == (3, 0) and bins.place(2) == (0, 8)
+
+
+def test_many_partitions_pack_as_tightly(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(211)
+    got = best_fit_packing(df, PATH)
+    bins, tokens = got.select("sequence_id").distinct().count(), got.groupBy().sum("length").first()[0]
+    assert bins <= 1.03 * tokens / 4096 + 1

@@ -11,7 +11,7 @@ import corpus_pipeline
 from wavelark.llm.common import stage
 from wavelark.llm.queries import tokenizer_path
 
-from .test_line_rules import WORD, brute, line_fails
+from .test_line_rules import WORD, brute, good_lines
 from .test_mixing import brute_targets
 from .test_secrets import BASE, RUN
 from .test_simhash import components, plain
@@ -27,7 +27,7 @@ def test_stages(spark):
     out = functions["quality_rules"](spark, docs, folder)
     assert out.columns == columns
     got = {r.doc_id: r.text for r in out.collect()}
-    want = {d: "\n".join(x for x in r.text.split("\n") if not WORD.search(x) or not line_fails(x)) for d, r in before.items() if brute(d, r.text)[7]}
+    want = {d: good_lines(r.text)[2] for d, r in before.items() if brute(d, r.text)[7]}
     assert got == want
 
     docs, texts = out, got
@@ -75,3 +75,15 @@ def test_stages(spark):
         pieces += [(r.doc_id, k // 4096, len(ids[k : k + 4096]), zlib.crc32(ids[k : k + 4096].tobytes())) for k in range(0, len(ids), 4096)]
     run = corpus_pipeline.run(spark, folder).collect()
     assert sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in run) == sorted(pieces)
+
+
+def test_no_rows_and_null_texts(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `key` int, `rules` string"
+    good = "Words here make up a line that is long enough to pass every rule of the first stage and to be kept as it is by it."
+    for rows in ([], [(1, None, None, None, None, 1, "x"), (None, None, "en", "s", 0, 2, "y")], [(1, good, "en", None, 9, 1, "x"), (1, good, "en", None, 9, 1, "x"), (2, None, "en", "s", 0, 1, "x"), (None, good + " More.", None, "s", None, 3, "z")]):
+        docs = spark.createDataFrame(rows, schema)
+        for name, f in corpus_pipeline.STAGES:
+            docs = stage(f(spark, docs, ""), name)[0]
+            if name != "best_fit_packing":
+                assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "key", "rules"]
+        assert (docs.count() > 0) == (len(rows) > 2)
