@@ -1,8 +1,10 @@
 """Ordered clustering in time: chained, anchored and width-capped groups, and what is made of them.
 
 The order is global, but no task sees more than a bucket of it: gaps are found inside time buckets, and
-one summary row per bucket carries the running end across their borders. Clusters that depend on their
-own start (anchored, capped) are walked inside the stretches between gaps, many stretches to a task.
+one summary row per bucket carries the running end across their borders. Anchored clusters, which depend
+on their own start, go through buckets by what each would let out for what comes in. Capped ones are
+walked inside the stretches between gaps, many stretches to a task. The summary rows, one for some
+200,000 rows, meet in one task.
 """
 
 from __future__ import annotations
@@ -70,29 +72,70 @@ def _walk(df: DataFrame, keys: list[str], segment: str, order: list[str], step,
     return df.repartition(*keys, segment).sortWithinPartitions(*keys, segment, *order).mapInPandas(run, schema)
 
 
-def anchored(df: DataFrame, window: int, time: str = "timestamp", order: list[str] | None = None, keys: list[str] | None = None, bucket: int | None = None) -> DataFrame:
-    """Adds `anchor`: the first time of the row's cluster, which holds all rows up to anchor + window; the next row beyond is the next anchor."""
-    keys = keys or []
-    df = chain(df, time, time, window, keys, order, bucket, "__segment")
+def _jumps(t: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the sorted times, if a cluster began there: where the last cluster after it begins, and how many begin in between, by doubling of jumps."""
+    n = len(t)
+    after = np.searchsorted(t, t + window, side="right")
+    end, count = np.where(after < n, after, np.arange(n)), (after < n).astype(np.int64)
+    while True:
+        further = end[end]
+        if (further == end).all():
+            return end, count
+        end, count = further, count + count[end]
 
-    def step(pdf: pd.DataFrame, state):
-        t, segment = pdf[time].to_numpy(), pdf["__segment"].to_numpy()
-        group = pd.MultiIndex.from_frame(pdf[keys]).factorize()[0] if keys else np.zeros(len(t), np.int64)
-        first = tuple(pdf[keys].iloc[0]) if keys else ()
-        out = np.empty(len(t), np.int64)
-        bounds = np.flatnonzero(np.concatenate(([True], (segment[1:] != segment[:-1]) | (group[1:] != group[:-1])))).tolist() + [len(t)]
-        anchor = None
-        for lo, hi in zip(bounds, bounds[1:], strict=False):
-            anchor = state[2] if lo == 0 and state and state[:2] == (first, segment[0]) else t[lo]
-            while lo < hi:
-                if t[lo] > anchor + window:
-                    anchor = t[lo]
-                nxt = lo + int(np.searchsorted(t[lo:hi], anchor + window, side="right"))
-                out[lo:nxt] = anchor
-                lo = nxt
-        return out, (tuple(pdf[keys].iloc[-1]) if keys else (), segment[-1], anchor)
-
-    return _walk(df, keys, "__segment", [time, *(order or [])], step, [time], "anchor").drop("__segment")
+
+def anchored(df: DataFrame, window: int, time: str = "timestamp", keys: list[str] | None = None, bucket: int | None = None) -> DataFrame:
+    """Adds `anchor`, the first time of the row's cluster, which holds all rows up to anchor + window, the next row beyond being the next anchor; and `anchor_index`, counting clusters from 0 in time (per keys).
+
+    A bucket of time doesn't know its first anchor, but what leaves it for each that it could be: a few
+    steps, since later entries can't leave earlier. One row of them per bucket is followed through in
+    time; then all buckets are labelled side by side, at any rate of rows and with no gap between them.
+    """
+    keys = keys or []
+    b = bucket or default_bucket(df, time)
+    df = df.withColumn("__b", F.floor(F.col(time) / b).cast("long"))
+    kinds = dict(df.dtypes)
+    named = "".join(f"`{k}` {kinds[k]}, " for k in [*keys, "__b"])
+
+    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(pdf[time].to_numpy())
+        end, count = _jumps(t, window)
+        some = min(len(t), 1 + int(np.searchsorted(t, int(pdf["__b"].iloc[0]) * b + window, side="right")))
+        out, count = t[end[:some]], count[:some]
+        last = np.append(np.flatnonzero((out[1:] != out[:-1]) | (count[1:] != count[:-1])), some - 1)
+        return pd.DataFrame({**{k: pdf[k].iloc[:1] for k in [*keys, "__b"]}, "upto": [t[last]], "out": [out[last]], "count": [count[last] + 1]})
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__b")
+        anchor, number, rows = None, 0, []
+        for upto, out, count in zip(pdf["upto"], pdf["out"], pdf["count"], strict=True):
+            rows.append((anchor, number))
+            k = int(np.searchsorted(upto, anchor + window, side="right")) if anchor is not None else 0
+            if k < len(upto):
+                anchor, number = int(out[k]), number + int(count[k])
+        return pd.DataFrame({**{k: pdf[k] for k in [*keys, "__b"]}, "__in": pd.array([a for a, _ in rows], "Int64"), "__n": [n for _, n in rows]}, index=pdf.index)
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(time, kind="stable")
+        t, entered, number = pdf[time].to_numpy(), pdf["__in"].iloc[0], int(pdf["__n"].iloc[0])
+        after = np.searchsorted(t, t + window, side="right").tolist()
+        i = 0 if pd.isna(entered) else int(np.searchsorted(t, int(entered) + window, side="right"))
+        starts = [] if i == 0 else [0]
+        values = [] if i == 0 else [int(entered)]
+        while i < len(t):
+            starts.append(i)
+            values.append(t[i])
+            i = after[i]
+        size = np.diff(np.append(starts, len(t)))
+        first = number - (1 if values and starts[0] == 0 and not pd.isna(entered) and values[0] == entered and t[0] <= entered + window else 0)
+        out = pdf.drop(columns=["__in", "__n", "__b"])
+        out["anchor"], out["anchor_index"] = np.repeat(np.array(values, np.int64), size), np.repeat(first + np.arange(len(values)), size)
+        return out
+
+    summary = df.select(*keys, time, "__b").groupBy(*keys, "__b").applyInPandas(steps, named + "upto array<long>, out array<long>, count array<long>")
+    entered = summary.withColumn("__one", F.lit(0)).groupBy(*(keys or ["__one"])).applyInPandas(lambda pdf: follow(pdf), named + "__in long, __n long")
+    schema = df.drop("__b").withColumns({"anchor": F.lit(0).cast("long"), "anchor_index": F.lit(0).cast("long")}).schema
+    return _join_small(df, entered, [*keys, "__b"]).groupBy(*keys, "__b").applyInPandas(label, schema)
 
 
 def group_events(hits: DataFrame, window_ns: float = 100, bucket: int | None = None, tick_per_ns: int = 1000) -> DataFrame:
@@ -102,19 +145,18 @@ def group_events(hits: DataFrame, window_ns: float = 100, bucket: int | None = N
     t_max are the first and last timestamps of that list (so dt/ns may be negative), ts_min and ts_max
     those in time. event_id counts from 0 in time.
     """
-    ties = [c for c in ("channel", "record_id") if c in hits.columns]
-    grouped = anchored(hits, int(window_ns * tick_per_ns), "timestamp", ties, bucket=bucket)
+    needed = [c for c in ("timestamp", "channel", "record_id", "area", "height") if c in hits.columns]
+    grouped = anchored(hits.select(*needed), int(window_ns * tick_per_ns), "timestamp", bucket=bucket)
     member = F.struct("channel", "timestamp", *(["record_id"] if "record_id" in hits.columns else []), "area", "height")
-    ev = grouped.groupBy("anchor").agg(F.array_sort(F.collect_list(member)).alias("m"), F.min("timestamp").alias("ts_min"), F.max("timestamp").alias("ts_max"))
+    ev = grouped.groupBy(F.col("anchor_index").alias("event_id")).agg(F.array_sort(F.collect_list(member)).alias("m"), F.min("timestamp").alias("ts_min"), F.max("timestamp").alias("ts_max"))
     pick = lambda f: F.transform("m", lambda x: x[f])
     t_min, t_max = F.get("m", 0)["timestamp"], F.element_at("m", -1)["timestamp"]
-    ev = ev.select("anchor", t_min.alias("t_min"), t_max.alias("t_max"), ((t_max - t_min) / tick_per_ns).alias("dt/ns"), F.size("m").alias("n_hits"), pick("channel").alias("channels"), pick("area").alias("areas"), pick("height").alias("heights"), pick("timestamp").alias("timestamps"), "ts_min", "ts_max")
-    return number(ev, "event_id", ["anchor"]).drop("anchor")
+    return ev.select("event_id", t_min.alias("t_min"), t_max.alias("t_max"), ((t_max - t_min) / tick_per_ns).alias("dt/ns"), F.size("m").alias("n_hits"), pick("channel").alias("channels"), pick("area").alias("areas"), pick("height").alias("heights"), pick("timestamp").alias("timestamps"), "ts_min", "ts_max")
 
 
-def number(df: DataFrame, name: str, order: list[str], rows_per_bucket: int = 200_000) -> DataFrame:
+def number(df: DataFrame, name: str, order: list[str], rows_per_bucket: int = 200_000, bucket: int | None = None) -> DataFrame:
     """0-based numbers in the order of `order` (the first a whole number), ranked inside buckets and offset by their counts."""
-    b = default_bucket(df, order[0], rows_per_bucket)
+    b = bucket or default_bucket(df, order[0], rows_per_bucket)
     df = df.withColumn("__b", F.floor(F.col(order[0]) / b))
     counts = df.groupBy("__b").agg(F.count("*").alias("__n")).withColumn("__off", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     rank = F.row_number().over(Window.partitionBy("__b").orderBy(*order)) - 1
@@ -219,10 +261,11 @@ def group_hit_windows(hits: DataFrame, window_ns: float = 100, bucket: int | Non
     """hits(abs_start, abs_end, dt, board, channel, timestamp, record_id, height, integral, ...) -> chained events over all channels, members by (board, channel, dt, start, time, record)."""
     if window_ns < 0:
         raise ValueError("a window can't be negative")
+    bucket = bucket or default_bucket(hits, "abs_start")
     df = chain(hits, "abs_start", "abs_end", int(window_ns * 1000), None, ["dt", "timestamp", "record_id"], bucket, "chain_start")
     start, end = ("sample_start", "sample_end") if "sample_start" in hits.columns else ("edge_start", "edge_end")
     member = F.struct("board", "channel", "dt", "abs_start", "timestamp", "record_id", "height", "integral", F.col(start).alias("sample_start"), F.col(end).alias("sample_end"))
     ev = df.groupBy("chain_start").agg(F.array_sort(F.collect_list(member)).alias("m"), F.min("abs_start").alias("t_min"), F.max("abs_end").alias("t_max"))
     lists = {"dt": "dt", "boards": "board", "channels": "channel", "heights": "height", "integrals": "integral", "timestamps": "timestamp", "record_ids": "record_id", "sample_starts": "sample_start", "sample_ends": "sample_end"}
     at = lambda f: F.transform("m", lambda x: x[f])
-    return number(ev, "event_id", ["t_min"]).select("event_id", "t_min", "t_max", ((F.col("t_max") - F.col("t_min")) / 1000).alias("dt/ns"), F.size("m").alias("n_hits"), *[at(f).alias(n) for n, f in lists.items()])
+    return number(ev, "event_id", ["t_min"], bucket=bucket).select("event_id", "t_min", "t_max", ((F.col("t_max") - F.col("t_min")) / 1000).alias("dt/ns"), F.size("m").alias("n_hits"), *[at(f).alias(n) for n, f in lists.items()])

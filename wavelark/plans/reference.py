@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import timeunits as U
@@ -149,13 +149,18 @@ def _(spark, d):
     return rounded(H.threshold_hits(waveforms(spark, d), 120))
 
 
+#: More than the hits of any record, for numbers that are its own.
+HITS_PER_RECORD = 1 << 20
+
+
 def _indexed_hits(spark: SparkSession, d: str) -> DataFrame:
     """Threshold hits squeezed together in time, so that gaps and caps bind."""
     h = H.threshold_hits(waveforms(spark, d), 120).withColumn("timestamp", F.floor(F.col("timestamp") / 50))
-    return h.withColumn("hit_index", F.col("record_id") * 100 + F.col("position")).dropDuplicates(["hit_index"])
+    nth = F.row_number().over(Window.partitionBy("record_id").orderBy("edge_start", "edge_end"))
+    return h.withColumn("hit_index", F.col("record_id") * HITS_PER_RECORD + nth)
 
 
-_MERGE = _THRESHOLD + """, hx AS (SELECT DISTINCT ON (hit_index) * FROM (SELECT * EXCLUDE (timestamp), CAST(floor(timestamp / 50) AS BIGINT) AS timestamp, record_id * 100 + position AS hit_index FROM th))"""
+_MERGE = _THRESHOLD + """, hx AS (SELECT * EXCLUDE (timestamp), CAST(floor(timestamp / 50) AS BIGINT) AS timestamp, record_id * 1048576 + row_number() OVER (PARTITION BY record_id ORDER BY edge_start, edge_end) AS hit_index FROM th)"""
 
 
 @query("hit_windows", f"WITH {WAVES_SQL}, {_THRESHOLD} SELECT record_id, position, edge_start, timestamp + (edge_start - position) * dt * 1000 AS abs_start, timestamp + (edge_end - position) * dt * 1000 AS abs_end FROM th")
@@ -390,10 +395,10 @@ def _(spark, d):
 # ---- look-ups in time and by record -------------------------------------------------------------
 
 
-@query("as_of", f"WITH {IV_SQL}, p AS (SELECT event_id AS q, t + 1500000 AS t FROM h WHERE channel = 1) SELECT p.q, i.event_id AS found, CAST(i.endtime > p.t AS BOOLEAN) AS inside FROM p ASOF LEFT JOIN iv i ON p.t >= i.time")
+@query("as_of", f"WITH {IV_SQL}, p AS (SELECT event_id AS q, t + 1500000 AS t FROM h) SELECT p.q, i.event_id AS found, CAST(i.endtime > p.t AS BOOLEAN) AS inside FROM p ASOF LEFT JOIN iv i ON p.t >= i.time")
 def _(spark, d):
     rows = intervals(spark, d)
-    points = event_hits(spark, d).where("channel = 1").select(F.col("event_id").alias("q"), (F.col("timestamp") + 1_500_000).alias("t"))
+    points = event_hits(spark, d).select(F.col("event_id").alias("q"), (F.col("timestamp") + 1_500_000).alias("t"))
     return rounded(I.as_of(points, rows, order=["event_id"]).select("q", F.col("found.event_id").alias("found"), "inside"))
 
 
@@ -462,10 +467,10 @@ def _(spark, d):
     return rounded(C.repair_windows(merged, C.merged_components(c), _indexed_hits(spark, d)).where("sample_start < 0").select("cluster_index", "abs_start", "abs_end"))
 
 
-@query("merge_sorted", f"WITH {HITS_SQL} SELECT event_id, channel FROM h WHERE channel IN (1, 3, 5)")
+@query("merge_sorted", f"WITH {HITS_SQL} SELECT event_id, channel FROM h")
 def _(spark, d):
     h = event_hits(spark, d)
-    return rounded(I.merge_sorted(*[h.where(F.col("channel") == k) for k in (1, 3, 5)], order=["timestamp", "board", "channel"]).select("event_id", "channel"))
+    return rounded(I.merge_sorted(*[h.where(F.col("channel") == k) for k in range(8)], order=["timestamp", "board", "channel"]).select("event_id", "channel"))
 
 
 # ---- beyond SQL: checked against NumPy in the tests ---------------------------------------------
