@@ -33,6 +33,8 @@ from .components import connected_components
 SAMPLE_SHARE, SAMPLE_LEAST, SAMPLE_MOST = 100, 4096, 262_144
 #: Own fingerprints of a task, and visitors that it compares them with, aimed at.
 SHARD_POINTS, SLICE_POINTS = 60_000, 60_000
+#: Slices of a shard's visitors at least, so that few shards spread over executors too. Pairs compared don't depend on it.
+LEAST_SLICES = 8
 #: Pairs that one block compares at once.
 BLOCK_PAIRS = 1 << 20
 
@@ -167,7 +169,7 @@ def plan_shards(sample: np.ndarray, total: int, radius: int) -> tuple[list, np.n
     shards = 1 + int(where.max(initial=0))
     scale = total / max(1, len(sample))
     own, all_ = np.bincount(where[home], minlength=shards) * scale, np.bincount(where, minlength=shards) * scale
-    return tree, np.maximum(1, np.ceil(own / (2 * SHARD_POINTS))).astype(np.int64), np.maximum(1, np.ceil(all_ / SLICE_POINTS)).astype(np.int64)
+    return tree, np.maximum(1, np.ceil(own / (2 * SHARD_POINTS))).astype(np.int64), np.maximum(LEAST_SLICES, np.ceil(all_ / SLICE_POINTS)).astype(np.int64)
 
 
 def deal(tree: list, parts: np.ndarray, slices: np.ndarray, points: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]]:
