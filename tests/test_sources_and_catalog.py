@@ -9,10 +9,11 @@ from wavelark.plans.catalog import Context, Node, Option, grid, layers, process_
 from wavelark.plans.profiles import cpu_default
 from wavelark.schemas import SCHEMAS, conform
 from wavelark.sinks import content_checksum, export
-from wavelark.sources.layouts import file_groups, formats, raw_files
-from wavelark.sources.text import preview, read_run, run_statistics, sniff
+from wavelark.operators.features import layered_values, map_channels
+from wavelark.sources.layouts import distinct_paths, file_groups, formats, raw_files
+from wavelark.sources.text import bad_lines, parse_lines, preview, read_run, run_statistics, sniff
 from wavelark.sources.v1725 import read_binary
-from wavelark.streaming.streams import run_available, stream_clusters, stream_peaks, with_halo
+from wavelark.streaming.streams import end_of_stream, run_available, stream_clusters, stream_peaks, union_streams, with_halo
 
 
 @pytest.fixture(scope="module")
@@ -142,7 +143,46 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "peaks")).count() == peak_hits(src, width=None, height=20, height_method="diff").count() > 0
     hits = spark.createDataFrame([(0, 0, t, 1.0 * t, 1.0) for t in (0, 5, 10, 11, 30, 31, 90)], "board int, channel int, timestamp long, height double, area double")
     hits.coalesce(1).write.parquet(str(tmp_path / "hits"))
-    run_available(stream_clusters(spark.readStream.schema(hits.schema).parquet(str(tmp_path / "hits")), 10), str(tmp_path / "ev"), str(tmp_path / "c2"))
-    assert sorted((r.t_min, r.t_max, r.n_hits) for r in spark.read.parquet(str(tmp_path / "ev")).collect()) == [(0, 10, 3), (11, 11, 1), (30, 31, 2)]
+    source = spark.readStream.schema(hits.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "hits"))
+    for extra, gap in ((hits.limit(0), None), (end_of_stream(spark, 90, 10, ticks_per_ms=1), None)):
+        extra.coalesce(1).write.mode("append").parquet(str(tmp_path / "hits"))
+        run_available(stream_clusters(source, 10, gap, ticks_per_ms=1), str(tmp_path / "ev"), str(tmp_path / "c2"))
+    got = sorted((r.t_min, r.t_max, r.n_hits, r.min_height, r.max_height) for r in spark.read.parquet(str(tmp_path / "ev")).collect())
+    assert got == [(0, 10, 3, 0.0, 10.0), (11, 11, 1, 11.0, 11.0), (30, 31, 2, 30.0, 31.0), (90, 90, 1, 90.0, 90.0)]
+    run_available(stream_clusters(source, 10, 1, ticks_per_ms=1), str(tmp_path / "ev2"), str(tmp_path / "c3"))
+    assert sorted((r.t_min, r.t_max, r.n_hits) for r in spark.read.parquet(str(tmp_path / "ev2")).collect()) == [(0, 0, 1), (5, 5, 1), (10, 11, 2), (30, 31, 2), (90, 90, 1)]
     rows = with_halo(spark.createDataFrame([(t,) for t in (0, 9, 10, 19)], "time long"), 10, 1, 2).collect()
     assert sorted((r.chunk, r.time) for r in rows if r.is_main) == [(0, 0), (0, 9), (1, 10), (1, 19)] and {(r.chunk, r.time) for r in rows if not r.is_main} == {(-1, 0), (1, 9), (0, 10), (2, 19)}
+
+
+def test_one_bad_cell_costs_one_line(spark):
+    text = ["BOARD;CHANNEL;TIMETAG", "0;1;10;;;;;5;6;7", "0;1;20;;;;;5;x;7", "0;1;zz;;;;;1", "", "0;2;30;;;;;1;2;"]
+    lines, fmt = spark.createDataFrame([(x,) for x in text], "value string"), formats.get("vx2730")
+    assert sorted((r.channel, r.wave) for r in parse_lines(lines, fmt).collect()) == [(1, [5, 6, 7]), (2, [1, 2])]
+    assert sorted(r.value for r in bad_lines(lines, fmt).collect()) == ["0;1;20;;;;;5;x;7", "0;1;zz;;;;;1"]
+
+
+def test_layers_of_channel_values_and_maps(spark, root, tmp_path):
+    got = layered_values([(0, 0), (0, 1), (1, 0)], {"gain": 1, "polarity": "negative"}, [([(0, 0), (0, 1)], {"gain": 2}), ([(0, 1)], {"gain": 3})], {(0, 0): {"polarity": "positive"}}, {(0, 1): {"gain": 9}})
+    assert got == {(0, 0): {"gain": 2, "polarity": "positive"}, (0, 1): {"gain": 9, "polarity": "negative"}, (1, 0): {"gain": 1, "polarity": "negative"}}
+    rows = spark.createDataFrame([(0, 0), (0, 1)], "board int, channel int")
+    assert sorted((r.channel, r.logical_channel) for r in map_channels(rows, {(0, 1): 7}).collect()) == [(0, -1), (1, 7)]
+    ctx = Context(spark, {"data_root": root, "channel_values": {(0, 0): {"polarity": "positive"}}, "run_channel_values": {"run1": {(0, 1): {"polarity": "negative"}}}}, store=str(tmp_path / "store"))
+    ctx.register(*cpu_default())
+    assert {(r.channel, r.polarity) for r in ctx.get("run1", "st_waveforms").select("channel", "polarity").distinct().collect()} == {(0, "positive"), (1, "negative")}
+    assert distinct_paths(["b", "a"], ["a", "c"]) == ["b", "a", "c"]
+    both = union_streams(rows, spark.createDataFrame([(5,)], "board int"))
+    assert both.count() == 3 and both.columns == ["board", "channel"]
+
+
+def test_changed_files_are_read_anew(spark, tmp_path):
+    raw = tmp_path / "r" / "RAW"
+    raw.mkdir(parents=True)
+    line = ";".join(map(str, [0, 1, 10, 0, 0, 0, 0, *[5] * 50]))
+    (raw / "a_CH1_0.CSV").write_text(line + "\n")
+    ctx = Context(spark, {"data_root": str(tmp_path)}, store=str(tmp_path / "store"))
+    ctx.register(*cpu_default())
+    assert ctx.get("r", "st_waveforms").count() == 1
+    (raw / "a_CH1_1.CSV").write_text(line + "\n")
+    ctx.refresh()
+    assert ctx.get("r", "st_waveforms").count() == 2

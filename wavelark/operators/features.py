@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,13 +24,28 @@ def with_channel_values(df: DataFrame, values: Mapping[tuple[int, int], Mapping[
     return df.join(t, (F.col("board") == F.col("__b")) & (F.col("channel") == F.col("__c")), "left").drop("__b", "__c")
 
 
-def structure_waveforms(rows: DataFrame, baseline_start: int = 0, baseline_end: int = 40, rate_ghz: float = 0.5, polarity: Mapping[tuple[int, int], str] | None = None) -> DataFrame:
+def layered_values(channels: list[tuple[int, int]], defaults: Mapping[str, object] | None = None, groups: Sequence[tuple[Sequence[tuple[int, int]], Mapping[str, object]]] = (), by_channel: Mapping[tuple[int, int], Mapping[str, object]] | None = None, run: Mapping[tuple[int, int], Mapping[str, object]] | None = None) -> dict[tuple[int, int], dict[str, object]]:
+    """Values of each channel: defaults, then those of the groups that it is in (later ones win), then its own, then the run's."""
+    out = {}
+    for c in channels:
+        layers = [defaults or {}, *(values for members, values in groups if c in set(map(tuple, members))), (by_channel or {}).get(c, {}), (run or {}).get(c, {})]
+        out[c] = {k: v for layer in layers for k, v in layer.items()}
+    return out
+
+
+def map_channels(rows: DataFrame, mapping: Mapping[tuple[int, int], int]) -> DataFrame:
+    """Rows with logical_channel: where the mapping puts (board, channel), -1 where it doesn't."""
+    df = with_channel_values(rows, {k: {"__to": int(v)} for k, v in mapping.items()}, {"__to": "int"})
+    return df.withColumn("logical_channel", F.coalesce("__to", F.lit(-1))).drop("__to")
+
+
+def structure_waveforms(rows: DataFrame, baseline_start: int = 0, baseline_end: int = 40, dt_ns: int = 2, polarity: Mapping[tuple[int, int], str] | None = None) -> DataFrame:
     """rows(board, channel, timestamp, wave) -> waveform rows: baseline by window mean, dt in ns, polarity by channel (unknown where none is known)."""
     known = {k: {"polarity": v if v in ("positive", "negative") else "unknown"} for k, v in (polarity or {}).items()}
-    df = with_channel_values(rows, known, {"polarity": "string"}) if known else rows.withColumn("polarity", F.lit("unknown"))
+    df = with_channel_values(rows.drop("polarity"), known, {"polarity": "string"}) if known else rows.withColumn("polarity", F.lit("unknown"))
     return df.select(
         W.mean(F.col("wave"), baseline_start, baseline_end).alias("baseline"), F.lit(W.NAN).alias("baseline_upstream"), F.coalesce("polarity", F.lit("unknown")).alias("polarity"), "timestamp", *(["record_id"] if "record_id" in rows.columns else []),
-        F.lit(round(1 / rate_ghz)).alias("dt"), F.size("wave").alias("event_length"), "board", "channel", "wave",
+        F.lit(dt_ns).alias("dt"), F.size("wave").alias("event_length"), "board", "channel", "wave",
     )
 
 

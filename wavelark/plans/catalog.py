@@ -47,7 +47,7 @@ class Option:
 
 @dataclass
 class Node:
-    """provides: dataset name; build(context, run, inputs, options) -> DataFrame; needs may depend on options."""
+    """provides: dataset name; build(context, run, inputs, options) -> DataFrame; needs may depend on options; stamp(context, run, options): what of the outside the result depends on, as text."""
 
     provides: str
     build: Callable[[Context, str, dict[str, DataFrame], dict], DataFrame]
@@ -56,6 +56,14 @@ class Node:
     version: str = "0"
     save_when: str = "never"
     description: str = ""
+    stamp: Callable[[Context, str, dict], str] | None = None
+
+
+def _listed(value):
+    """Mappings as sorted lists of pairs, so that keys of any type have a JSON form of their own."""
+    if isinstance(value, dict):
+        return [[_listed(k), _listed(v)] for k, v in sorted(value.items(), key=lambda kv: str(kv[0]))]
+    return [_listed(v) for v in value] if isinstance(value, list | tuple) else value
 
 
 class Context:
@@ -67,6 +75,7 @@ class Context:
         self.run_config: dict[str, dict] = {}
         self.log: list[dict] = []
         self._building: list[tuple[str, str]] = []
+        self._stamps: dict[tuple[str, str], str] = {}
 
     def register(self, *nodes: Node, replace: bool = False) -> None:
         for n in nodes:
@@ -133,10 +142,19 @@ class Context:
     def lineage(self, name: str, run: str = "") -> dict:
         n = self._node(name)
         tracked = {k: v for k, v in self.options(name, run).items() if n.options[k].track}
-        return {"name": name, "version": n.version, "options": tracked, "needs": [self.lineage(d, run) for d in self.needs(name, run)]}
+        own = {"name": name, "version": n.version, "options": tracked, "needs": [self.lineage(d, run) for d in self.needs(name, run)]}
+        if n.stamp is None:
+            return own
+        if (name, run) not in self._stamps:
+            self._stamps[name, run] = n.stamp(self, run, self.options(name, run))
+        return own | {"stamp": self._stamps[name, run]}
+
+    def refresh(self) -> None:
+        """Looks at input files anew: what is kept of others no longer counts."""
+        self._stamps.clear()
 
     def key(self, run: str, name: str) -> str:
-        text = json.dumps(self.lineage(name, run), sort_keys=True, default=str)
+        text = json.dumps(_listed(self.lineage(name, run)), default=str)
         return f"{run}-{name}-{hashlib.sha256(text.encode()).hexdigest()[:12]}"
 
     def _path(self, run: str, name: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..operators import clustering as C
@@ -24,8 +25,21 @@ def _waves(options: dict) -> tuple[str, ...]:
 def _structured(ctx: Context, run: str, inputs: dict, o: dict):
     fmt = formats.get(o["daq_adapter"])
     rows = read_run(ctx.spark, o["data_root"], run, o["daq_adapter"])
-    waves = rows.select("baseline", F.lit(float("nan")).alias("baseline_upstream"), F.lit("unknown").alias("polarity"), "timestamp", F.lit(fmt.dt_ns).alias("dt"), F.size("wave").alias("event_length"), "board", "channel", "wave")
-    return I.sort_records(waves, ("timestamp", "board", "channel"))
+    lo, hi = (k - fmt.samples for k in fmt.baseline)
+    run_values = (o["run_channel_values"] or {}).get(run)
+    channels = [tuple(c) for c in o["channels"] or []] or sorted({*(o["channel_values"] or {}), *(run_values or {}), *(tuple(c) for members, _ in o["channel_groups"] or () for c in members)})
+    values = FE.layered_values(channels, o["channel_defaults"], o["channel_groups"] or (), o["channel_values"], run_values)
+    known = {c: v["polarity"] for c, v in values.items() if "polarity" in v}
+    return I.sort_records(FE.structure_waveforms(rows, lo, hi, fmt.dt_ns, known), ("timestamp", "board", "channel"))
+
+
+def _files_stamp(ctx: Context, run: str, o: dict) -> str:
+    """Number, sizes and times of a run's files, so that changed data under the same options is not taken from the store."""
+    try:
+        r = raw_files(ctx.spark, o["data_root"], run, formats.get(o["daq_adapter"]).layout).agg(F.count("*").alias("n"), F.sum(F.xxhash64("path", "size", "modified").cast("decimal(38,0)")).alias("h")).first()
+    except AnalysisException:  # no such folder
+        return ""
+    return f"{r.n}:{r.h}"
 
 
 def cpu_default() -> list[Node]:
@@ -39,7 +53,7 @@ def cpu_default() -> list[Node]:
 
     return [
         Node("raw_files", lambda c, r, i, o: raw_files(c.spark, o["data_root"], r, formats.get(o["daq_adapter"]).layout), options={"data_root": root, "daq_adapter": adapter}),
-        Node("st_waveforms", _structured, options={"data_root": root, "daq_adapter": adapter}, save_when="always"),
+        Node("st_waveforms", _structured, options={"data_root": root, "daq_adapter": adapter, "channels": Option(None), "channel_defaults": Option(None), "channel_groups": Option(None), "channel_values": Option(None), "run_channel_values": Option(None)}, save_when="always", stamp=_files_stamp),
         Node("records", lambda c, r, i, o: S.wave_pool(i["st_waveforms"]).withColumn("time", F.floor(F.col("timestamp") / 1000)), ("st_waveforms",), save_when="always"),
         Node("filtered_waveforms", lambda c, r, i, o: S.filter_waveforms(i["st_waveforms"], **o), ("st_waveforms",), {"filter_type": Option("SG", str, ("SG", "BW")), "lowcut": Option(0.1, float), "highcut": Option(0.5, float), "fs": Option(0.5, float), "filter_order": Option(4, int, least=1), "sg_window_size": Option(11, int, least=1), "sg_poly_order": Option(2, int, least=0)}, save_when="target"),
         Node("basic_features", lambda c, r, i, o: FE.basic_features(i[o["wave_source"]], o["height_range"], o["area_range"]), _waves, {"wave_source": _SOURCE, "height_range": Option((40, 90)), "area_range": Option((0, None))}, save_when="always"),

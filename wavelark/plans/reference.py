@@ -19,7 +19,9 @@ from ..operators import features as FE
 from ..operators import hits as H
 from ..operators import intervals as I
 from ..operators import signals as S
-from ..streaming.streams import clip_to_main, with_halo
+from ..sources.layouts import formats
+from ..sources.text import bad_lines, parse_lines, preview, run_statistics, wave_length
+from ..streaming.streams import clip_to_main, union_streams, with_halo
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -57,6 +59,12 @@ def waveforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"polarity": polarity, "baseline": W.mean(F.col("wave"), 0, 16), "event_length": F.size("wave")})
 
 
+def _as_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The waveforms as lines of a text format, record_id beside them."""
+    cells = [F.col(c).cast("string") for c in ("board", "channel", "timestamp")]
+    return waveforms(spark, d).select("record_id", F.concat_ws(";", *cells, F.lit("0;0;0;0"), F.array_join(F.transform("wave", lambda x: x.cast("string")), ";")).alias("value"))
+
+
 HITS_SQL = """h AS (
   SELECT event_id, epoch_us(ts) AS t, user_id % 8 AS channel, user_id % 2 AS board, value, 1 + event_id % 5 AS len FROM events)"""
 
@@ -78,9 +86,45 @@ SPAN = 20_000_000
 # ---- per-record features ----------------------------------------------------------------------
 
 
-@query("wave_structure", f"WITH {WAVES_SQL} SELECT record_id, board, channel, timestamp, CAST(dt AS BIGINT) AS dt, event_length, polarity, round(baseline, 6) AS baseline FROM v")
+@query("wave_structure", f"WITH {WAVES_SQL} SELECT record_id, board, channel, timestamp, CAST(dt AS BIGINT) AS dt, event_length, CASE WHEN board = 0 AND channel = 2 THEN 'positive' WHEN board = 1 AND channel = 3 THEN 'negative' ELSE 'unknown' END AS polarity, round(baseline, 6) AS baseline FROM v")
 def _(spark, d):
-    return rounded(waveforms(spark, d).select("record_id", "board", "channel", "timestamp", "dt", "event_length", "polarity", "baseline"))
+    df = FE.structure_waveforms(waveforms(spark, d), 0, 16, 2, {(0, 2): "positive", (1, 3): "negative"})
+    return rounded(df.select("record_id", "board", "channel", "timestamp", "dt", "event_length", "polarity", "baseline"))
+
+
+@query("channel_map", f"WITH {WAVES_SQL} SELECT record_id, CASE WHEN board = 0 AND channel = 2 THEN 20 WHEN board = 1 AND channel = 3 THEN 31 ELSE -1 END AS logical_channel FROM v")
+def _(spark, d):
+    return rounded(FE.map_channels(waveforms(spark, d), {(0, 2): 20, (1, 3): 31}).select("record_id", "logical_channel"))
+
+
+@query("text_records", f"WITH {WAVES_SQL} SELECT board, channel, timestamp, len(wave) AS n, round(CAST(list_sum(wave) AS DOUBLE), 3) AS total, round(list_sum(wave[1:40]) / 40.0, 6) AS baseline FROM v")
+def _(spark, d):
+    lines = _as_lines(spark, d)
+    rows = parse_lines(lines, formats.get("vx2730"))
+    return rounded(rows.select("board", "channel", "timestamp", F.size("wave").alias("n"), W.total(F.col("wave")).cast("double").alias("total"), "baseline"), 6)
+
+
+@query("text_bad_lines", f"WITH {WAVES_SQL} SELECT count(*) FILTER (WHERE record_id % 9 = 4) AS bad, count(*) FILTER (WHERE record_id % 9 <> 4) AS good FROM v")
+def _(spark, d):
+    lines = _as_lines(spark, d).withColumn("value", F.when(F.col("record_id") % 9 == 4, F.concat("value", F.lit(";x"))).otherwise(F.col("value"))).drop("record_id")
+    fmt = formats.get("vx2730")
+    return bad_lines(lines, fmt).agg(F.count("*").alias("bad")).join(parse_lines(lines, fmt).agg(F.count("*").alias("good")))
+
+
+@query("text_wave_length", f"WITH {WAVES_SQL} SELECT min(len(wave)) AS shortest, max(len(wave)) AS longest, count(*) AS records FROM v")
+def _(spark, d):
+    return rounded(wave_length(_as_lines(spark, d), formats.get("vx2730")))
+
+
+@query("record_preview", f"WITH {WAVES_SQL} SELECT timestamp FROM v WHERE channel = 3 ORDER BY timestamp LIMIT 5 OFFSET 2")
+def _(spark, d):
+    return rounded(preview(waveforms(spark, d).select("channel", "timestamp", "board", "wave"), 3, 2, 7).select("timestamp"))
+
+
+@query("united_streams", f"WITH {HITS_SQL} SELECT event_id, channel FROM h WHERE channel < 4 UNION ALL SELECT event_id, NULL FROM h WHERE channel >= 4")
+def _(spark, d):
+    h = event_hits(spark, d)
+    return rounded(union_streams(h.where("channel < 4").select("event_id", "channel"), h.where("channel >= 4").select("event_id")))
 
 
 _FEATURES = """SELECT record_id, board, channel, timestamp,
@@ -363,6 +407,13 @@ def _(spark, d):
     return rounded(event_hits(spark, d).groupBy("board", "channel").agg(F.count("*").alias("records"), F.min("timestamp").alias("first_t"), F.max("timestamp").alias("last_t"), ((F.max("timestamp") - F.min("timestamp")) / 1e6).alias("duration_s")))
 
 
+@query("run_statistics", f"WITH {HITS_SQL}, f AS (SELECT channel, count(*) AS file_count, sum(len) AS bytes FROM h GROUP BY channel, board), g AS (SELECT channel, CAST(count(*) AS BIGINT) AS file_count, CAST(sum(bytes) AS BIGINT) AS bytes FROM f GROUP BY channel) SELECT channel, g.file_count, g.bytes, count(*) AS records, min(t) AS first_ps, max(t) AS last_ps, round((max(t) - min(t)) / 1e12, 6) AS duration_s FROM h JOIN g USING (channel) GROUP BY channel, g.file_count, g.bytes")
+def _(spark, d):
+    h = event_hits(spark, d)
+    files = h.groupBy("channel", "board").agg(F.sum(1 + F.col("event_id") % 5).alias("size"), F.max("timestamp").alias("modified"))
+    return rounded(run_statistics(h.withColumnRenamed("channel", "file_channel"), files).drop("first_modified", "last_modified"))
+
+
 @query("hardware_channels", f"WITH {HITS_SQL} SELECT DISTINCT board, channel FROM h")
 def _(spark, d):
     return rounded(event_hits(spark, d).select("board", "channel").distinct())

@@ -20,7 +20,7 @@ class Layout:
 
 @dataclass(frozen=True)
 class Format:
-    """Text or binary format of a digitizer. Columns count from 0; header_rows: in a run's first file and in the others."""
+    """Text or binary format of a digitizer. Columns count from 0; header: what a header line begins with, in capitals; unit: of the timestamp column."""
 
     name: str
     layout: str
@@ -95,3 +95,8 @@ def raw_files(spark: SparkSession, root: str, run: str, layout: str = "vx2730")
 def file_groups(files: DataFrame) -> DataFrame:
     """Per channel, its paths in order."""
     return files.groupBy("channel").agg(F.transform(F.array_sort(F.collect_list(F.struct("file_index", "path"))), lambda x: x["path"]).alias("paths"))
+
+
+def distinct_paths(*lists: list[str]) -> list[str]:
+    """The paths of all lists in the order in which they first come."""
+    return list(dict.fromkeys(p for some in lists for p in some))

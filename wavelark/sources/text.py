@@ -14,19 +14,28 @@ from .layouts import Format, _place, formats, layouts
 
 
 def parse_lines(lines: DataFrame, fmt: Format) -> DataFrame:
-    """lines(value [, path]) -> board, channel, timestamp (ps), baseline, wave. Header lines and lines without a numeric timestamp go; empty fields at the end are no samples."""
+    """lines(value [, path]) -> board, channel, timestamp (ps), baseline, wave. Header lines go, and lines without a numeric timestamp or with a sample that is no number (see bad_lines); empty fields at the end are no samples."""
     cells = F.split("value", re.escape(fmt.delimiter), -1)
     df = lines.withColumn("__c", cells)
     number = lambda k: F.expr(f"try_cast(trim(get(__c, {k})) as double)")
     df = df.where(~F.upper(F.trim("value")).rlike(fmt.header) & number(fmt.timestamp).isNotNull())
     samples = F.filter(F.transform(F.slice("__c", fmt.samples + 1, F.greatest(F.size("__c") - fmt.samples, F.lit(0))), lambda x: F.trim(x)), lambda x: x != "")
-    df = df.withColumn("wave", F.transform(samples, lambda x: x.cast("double").cast("int")))
+    df = df.withColumn("wave", F.transform(samples, lambda x: x.try_cast("double").try_cast("int"))).where(~F.exists("wave", lambda x: x.isNull()))
     lo, hi = fmt.baseline[0] - fmt.samples, fmt.baseline[1] - fmt.samples
     ticks = F.coalesce(F.expr(f"try_cast(trim(get(__c, {fmt.timestamp})) as bigint)"), number(fmt.timestamp).cast("long"))
     path = ["path"] if "path" in lines.columns else []
     return df.select(*path, F.coalesce(number(fmt.board).cast("int"), F.lit(0)).alias("board"), number(fmt.channel).cast("int").alias("channel"), U.to_ps(ticks, fmt.unit, fmt.dt_ns).alias("timestamp"), W.mean(F.col("wave"), lo, hi).alias("baseline"), "wave")
 
 
+def bad_lines(lines: DataFrame, fmt: Format) -> DataFrame:
+    """Lines that parse_lines leaves out and that are neither headers nor blank: their value, and path where there is one."""
+    good = lines.withColumn("__id", F.xxhash64(*lines.columns))
+    kept = parse_lines(lines.select(F.xxhash64(*lines.columns).cast("string").alias("path"), "value"), fmt).select(F.col("path").cast("long").alias("__id")).distinct()
+    cells = F.split("value", re.escape(fmt.delimiter), -1)
+    filled = F.size(F.filter(cells, lambda x: F.trim(x) != "")) > 0
+    return good.join(kept, "__id", "left_anti").where(~F.upper(F.trim("value")).rlike(fmt.header) & filled).drop("__id")
+
+
 def read_text_waveforms(spark: SparkSession, paths: str | list[str], fmt: str | Format = "vx2730") -> DataFrame:
     """All files at once; a line that the header rule fits is a header wherever it stands, so files need no order."""
     fmt = formats.get(fmt) if isinstance(fmt, str) else fmt
@@ -87,7 +96,7 @@ def preview(rows: DataFrame, channel: int, start: int, end: int, by: str = "even
     df = rows.where(F.col("channel") == channel)
     if by == "timestamp":
         return df.where((F.col("timestamp") >= start) & (F.col("timestamp") < end))
-    return df.orderBy("timestamp").offset(start).limit(max(0, end - start))
+    return df.orderBy("timestamp", *[c for c in ("board", "file_index") if c in rows.columns], "wave").offset(start).limit(max(0, end - start))
 
 
 def wave_length(lines: DataFrame, fmt: Format) -> DataFrame:
