@@ -184,3 +184,30 @@ def length_mismatches(waveforms: DataFrame, records: DataFrame) -> DataFrame:
 def attach_by_record(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
     """left with columns of right by record_id, null where right has no such record."""
     return left.join(right.select("record_id", *columns), "record_id", "left")
+
+
+def unique_records(records: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """The same rows; a record_id that stands twice fails the job, and so does one that `known` doesn't hold."""
+    n = records.groupBy(F.col("record_id").alias("__id")).agg(F.count("*").alias("__n"))
+    if known is not None:
+        n = n.join(known.select(F.col("record_id").alias("__id"), F.lit(True).alias("__known")).distinct(), "__id", "left")
+    bad = F.when(F.col("__n") > 1, "twice: ") if known is None else F.when(F.col("__n") > 1, "twice: ").when(F.col("__known").isNull(), "unknown: ")
+    fine = n.where(F.when(bad.isNotNull(), F.raise_error(F.concat(F.lit("record "), bad, F.col("__id"))).cast("boolean")).otherwise(F.lit(True)))
+    return records.join(fine.select(F.col("__id").alias("record_id")), "record_id", "left_semi")
+
+
+def preview_filter(records: DataFrame, record_ids: Sequence[int] | None = None, board: int | None = None, channel: int | None = None, start: int | None = None, end: int | None = None, height: tuple[float | None, float | None] = (None, None), area: tuple[float | None, float | None] = (None, None), limit: int | None = None) -> DataFrame:
+    """Records to look at: those of record_ids in the list's order, or by board, channel and closed range of timestamps; then by closed ranges of height and area; then the first `limit` of them in time."""
+    if record_ids is not None:
+        asked = records.sparkSession.createDataFrame([(k, int(i)) for k, i in enumerate(dict.fromkeys(record_ids))], "__at long, record_id long")
+        out, order = records.join(asked, "record_id"), ["__at"]
+    else:
+        out, order = records, [c for c in ("timestamp", "board", "channel", "record_id") if c in records.columns]
+        bounds = [(board, F.col("board") == board), (channel, F.col("channel") == channel), (start, F.col("timestamp") >= start), (end, F.col("timestamp") <= end)]
+        for value, test in bounds:
+            out = out if value is None else out.where(test)
+    for name, (lo, hi) in (("height", height), ("area", area)):
+        out = out if lo is None else out.where((F.col(name) >= lo) & ~F.isnan(name))
+        out = out if hi is None else out.where(F.col(name) <= hi)
+    out = out.orderBy(*order)
+    return (out if limit is None else out.limit(limit)).drop("__at")

@@ -87,11 +87,11 @@ def _with_previous(df: DataFrame, order: list[str], values: dict[str, Column], b
     return out.drop("__b", "__before", *[f"__v_{k}" for k in values])
 
 
-def split_by_breaks(df: DataFrame, threshold: int, order: list[str] | None = None, min_size: int = 1) -> DataFrame:
+def split_by_breaks(df: DataFrame, threshold: int, order: list[str] | None = None, min_size: int = 1, bucket: int | None = None) -> DataFrame:
     """segment: a new one begins where a row starts more than threshold after the end of the row before; segments below min_size go."""
     df = df if END in df.columns else with_endtime(df)
     order = order or ["time"]
-    b = default_bucket(df, order[0])
+    b = bucket or default_bucket(df, order[0])
     df = _with_previous(df, order, {"__prev": F.col(END)}, b).withColumn("__new", (F.col("__prev").isNotNull() & (F.col(order[0]) - F.col("__prev") > threshold)).cast("int")).drop("__prev")
     df = df.withColumn("__b", F.floor(F.col(order[0]) / b))
     carry = df.groupBy("__b").agg(F.sum("__new").alias("n")).withColumn("__off", F.coalesce(F.sum("n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
@@ -146,6 +146,19 @@ def check_no_overlap(df: DataFrame, order: list[str] | None = None) -> DataFrame
     return d.agg(F.count(F.when(F.col("__o") > 0, 1)).alias("overlaps"), F.max(F.when(F.col("__o") > 0, F.col("__o"))).alias("largest"))
 
 
+def check_sorted(df: DataFrame, position: str, time: str = "time") -> DataFrame:
+    """One row: rows before their predecessor by position, rows that start before their predecessor in time has ended, and whether there are neither."""
+    steps = check_monotonic(df, position, time).select(F.col("violations").alias("unsorted"))
+    both = steps.crossJoin(check_no_overlap(df, [time, position]).select(F.col("overlaps").alias("overlapping")))  # one row each
+    return both.withColumn("ok", (F.col("unsorted") == 0) & (F.col("overlapping") == 0))
+
+
+def first_occurrences(df: DataFrame, keys: list[str], position: str) -> DataFrame:
+    """The first row of each value of keys by a whole-number position; the others go."""
+    row = F.struct(*[F.col(c) for c in df.columns])
+    return df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min_by(row, position).alias("__r")).select("__r.*")
+
+
 def check_endtime(df: DataFrame, tolerance: int = 0) -> DataFrame:
     off = F.abs(F.col(END) - (F.col("time") + F.col("dt").cast("long") * F.col("length").cast("long")))
     return df.agg(F.count(F.when(off > tolerance, 1)).alias("violations"), F.max(off).alias("largest"))

@@ -115,3 +115,11 @@ def wave_pool(records: DataFrame) -> DataFrame:
     carry = b.groupBy("__b").agg(F.sum("event_length").alias("n")).withColumn("__off", F.coalesce(F.sum("n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     within = F.coalesce(F.sum("event_length").over(Window.partitionBy("__b").orderBy("record_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return _join_small(b, carry, ["__b"]).withColumn("wave_offset", (within + F.col("__off")).cast("long")).drop("__b", "__off")
+
+
+def filtered_pool(records: DataFrame, **options) -> DataFrame:
+    """The pool's records, with wave_offset, each filtered on its own samples alone; one whose event_length isn't that of its wave fails the job."""
+    off = F.raise_error(F.concat(F.lit("out of the pool: record "), F.col("record_id"))).cast("boolean")
+    exact = records.where(F.when(F.col("event_length").eqNullSafe(F.size("wave")), F.lit(True)).otherwise(off))
+    out = filter_waveforms(exact, **options)
+    return out if "wave_offset" in out.columns else wave_pool(out)

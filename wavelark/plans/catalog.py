@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import time
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 
@@ -192,24 +193,31 @@ class Context:
             if x in built:
                 return built[x]
             if self.is_kept(run, x):
+                started = time.monotonic()
                 built[x] = self.spark.read.parquet(self._path(run, x))
+                self._log(run, x, started, hit=True)
                 return built[x]
             node = self._node(x)
             inputs = {d: make(d) for d in self.needs(x, run)}
+            started = time.monotonic()
             try:
                 df = node.build(self, run, inputs, self.options(x, run))
+                if self.store and (node.save_when == "always" or node.save_when == "target" and x == name):
+                    path = self._path(run, x)
+                    df.write.mode("overwrite").parquet(path)
+                    df = self.spark.read.schema(df.schema).parquet(path)
             except Exception as e:
+                self._log(run, x, started, ok=False)
                 raise RuntimeError(f"{x} failed: {e}") from e
-            if self.store and (node.save_when == "always" or node.save_when == "target" and x == name):
-                path = self._path(run, x)
-                df.write.mode("overwrite").parquet(path)
-                df = self.spark.read.schema(df.schema).parquet(path)
-            self.log.append({"run": run, "name": x, "kept": self.is_kept(run, x)})
+            self._log(run, x, started)
             built[x] = df
             return df
 
         return make(name)
 
+    def _log(self, run: str, name: str, started: float, ok: bool = True, hit: bool = False) -> None:
+        self.log.append({"run": run, "name": name, "kept": ok and (hit or self.is_kept(run, name)), "ok": ok, "hit": hit, "seconds": time.monotonic() - started})
+
     def get_all(self, run: str, names: Iterable[str]) -> dict[str, DataFrame]:
         return {n: self.get(run, n) for n in names}
 

@@ -33,6 +33,12 @@ def _structured(ctx: Context, run: str, inputs: dict, o: dict):
     return I.sort_records(FE.structure_waveforms(rows, lo, hi, fmt.dt_ns, known), ("timestamp", "board", "channel"))
 
 
+def _classified(ctx: Context, run: str, inputs: dict, o: dict):
+    """Widths beside heights and areas, by record; a record without a width has none to fit."""
+    widths = inputs["waveform_width_integral"].select("event_index", F.col("width").alias("width_ns"))
+    return FE.classify_s1_s2(inputs["basic_features"].join(widths, "event_index", "left"), o["s1"] or {}, o["s2"] or {}, o["conflict"], bool(o["strict"]))
+
+
 def _files_stamp(ctx: Context, run: str, o: dict) -> str:
     """Number, sizes and times of a run's files, so that changed data under the same options is not taken from the store."""
     try:
@@ -56,6 +62,7 @@ def cpu_default() -> list[Node]:
         Node("st_waveforms", _structured, options={"data_root": root, "daq_adapter": adapter, "channels": Option(None), "channel_defaults": Option(None), "channel_groups": Option(None), "channel_values": Option(None), "run_channel_values": Option(None)}, save_when="always", stamp=_files_stamp),
         Node("records", lambda c, r, i, o: S.wave_pool(i["st_waveforms"]).withColumn("time", F.floor(F.col("timestamp") / 1000)), ("st_waveforms",), save_when="always"),
         Node("filtered_waveforms", lambda c, r, i, o: S.filter_waveforms(i["st_waveforms"], **o), ("st_waveforms",), {"filter_type": Option("SG", str, ("SG", "BW")), "lowcut": Option(0.1, float), "highcut": Option(0.5, float), "fs": Option(0.5, float), "filter_order": Option(4, int, least=1), "sg_window_size": Option(11, int, least=1), "sg_poly_order": Option(2, int, least=0)}, save_when="target"),
+        Node("wave_pool_filtered", lambda c, r, i, o: S.filtered_pool(i["records"], **o), ("records",), {"filter_type": Option("SG", str, ("SG", "BW")), "lowcut": Option(0.1, float), "highcut": Option(0.5, float), "fs": Option(0.5, float), "filter_order": Option(4, int, least=1), "sg_window_size": Option(11, int, least=1), "sg_poly_order": Option(2, int, least=0)}, save_when="target"),
         Node("basic_features", lambda c, r, i, o: FE.basic_features(i[o["wave_source"]], o["height_range"], o["area_range"]), _waves, {"wave_source": _SOURCE, "height_range": Option((40, 90)), "area_range": Option((0, None))}, save_when="always"),
         Node("df", lambda c, r, i, o: FE.record_frame(i[o["wave_source"]], gain=o["gain_adc_per_pe"]), _waves, {"wave_source": _SOURCE, "gain_adc_per_pe": Option(None)}, save_when="always"),
         Node("df_events", lambda c, r, i, o: C.group_events(i["df"], o["time_window_ns"]), ("df",), {"time_window_ns": _WINDOW}, save_when="always"),
@@ -68,4 +75,5 @@ def cpu_default() -> list[Node]:
         Node("hit_grouped", lambda c, r, i, o: C.group_hit_windows(C.absolute_window(i["hit_threshold"]), o["time_window_ns"]), ("hit_threshold",), {"time_window_ns": _WINDOW}, save_when="always"),
         Node("waveform_width", lambda c, r, i, o: FE.pulse_widths(i["hit"], i["st_waveforms"], o["sampling_rate"]), ("hit", "st_waveforms"), {"sampling_rate": Option(0.5, float)}, save_when="always"),
         Node("waveform_width_integral", lambda c, r, i, o: FE.width_integral(i[o["wave_source"]], o["q_low"], o["q_high"]), _waves, {"wave_source": _SOURCE, "q_low": Option(0.1, float), "q_high": Option(0.9, float)}, save_when="always"),
+        Node("s1_s2", _classified, ("waveform_width_integral", "basic_features"), {"s1": Option(None), "s2": Option(None), "conflict": Option("unknown", str, ("unknown", "prefer_s1", "prefer_s2")), "strict": Option(False)}, save_when="always"),
     ]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import timeunits as U
 from ..functions import waves as W
+from ..operators import chunks as CH
 from ..operators import clustering as C
 from ..operators import features as FE
 from ..operators import hits as H
@@ -22,6 +23,7 @@ from ..operators import signals as S
 from ..sources.layouts import formats
 from ..sources.text import bad_lines, parse_lines, preview, run_statistics, wave_length
 from ..streaming.streams import clip_to_main, union_streams, with_halo
+from . import store as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -428,8 +430,12 @@ def _(spark, d):
 
 @query("preview_filter", f"WITH {HITS_SQL} SELECT event_id FROM h WHERE channel = 3 AND t BETWEEN {T0} AND {T1} AND value BETWEEN 10 AND 80")
 def _(spark, d):
-    h = I.time_window_closed(event_hits(spark, d), T0, T1)
-    return rounded(h.where((F.col("channel") == 3) & F.col("area").between(10, 80)).select("event_id"))
+    return rounded(FE.preview_filter(event_hits(spark, d), channel=3, start=T0, end=T1, area=(10, 80)).select("event_id"))
+
+
+@query("preview_by_ids", f"WITH {HITS_SQL} SELECT event_id FROM h WHERE event_id IN (7, 3, 11, 5, 2) AND value >= 20")
+def _(spark, d):
+    return rounded(FE.preview_filter(event_hits(spark, d), [7, 3, 11, 3, 5, 2], height=(20, None)).select("event_id"))
 
 
 @query("largest_entries", "SELECT c_custkey, round(c_acctbal, 2) AS c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20")
@@ -443,6 +449,73 @@ def _(spark, d):
     return rounded(a.select(F.lit("before").alias("side")).unionByName(b.select(F.lit("after").alias("side"))).groupBy("side").agg(F.count("*").alias("n")))
 
 
+# ---- chunk streams ------------------------------------------------------------------------------
+
+_CHUNKS = f"""WITH {IV_SQL}, l AS (SELECT *, lag(endtime) OVER (ORDER BY time, event_id) AS p FROM iv),
+g AS (SELECT *, CAST(sum(CASE WHEN time - p > 300000000 THEN 1 ELSE 0 END) OVER (ORDER BY time, event_id) AS BIGINT) AS segment FROM l),
+k AS (SELECT *, (count(*) OVER (PARTITION BY segment ORDER BY time) - 1) // 40 AS chunk FROM g),
+s AS (SELECT segment, chunk, min(time) AS main_start, max(endtime) AS e FROM k GROUP BY 1, 2),
+r AS (SELECT segment, chunk, main_start, coalesce(lead(main_start) OVER (PARTITION BY segment ORDER BY chunk), max(e) OVER (PARTITION BY segment)) AS main_end FROM s)"""
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    return CH.chunk_stream(intervals(spark, d), 40, 300_000_000, 100_000_000, 50_000_000, ("time", "event_id"))
+
+
+@query("chunk_stream", f"""{_CHUNKS} SELECT event_id, segment, chunk, main_start, main_end, true AS is_main FROM k JOIN r USING (segment, chunk)
+UNION ALL SELECT k.event_id, r.segment, r.chunk, r.main_start, r.main_end, false FROM k JOIN r ON k.segment = r.segment WHERE k.time >= r.main_start - 100000000 AND k.time < r.main_start OR k.time >= r.main_end AND k.time < r.main_end + 50000000""")
+def _(spark, d):
+    return rounded(CH.check_chunks(_chunks(spark, d)).select("event_id", "segment", "chunk", "main_start", "main_end", "is_main"))
+
+
+@query("chunk_range", f"{_CHUNKS} SELECT segment, chunk, count(*) AS n FROM k JOIN r USING (segment, chunk) WHERE main_end > {T0} AND main_start < {T1} AND length > greatest(ceil(({T0} - time) / 1e6), 0) + greatest(ceil((endtime - {T1}) / 1e6), 0) GROUP BY 1, 2")
+def _(spark, d):
+    return rounded(CH.stream_range(_chunks(spark, d).where("is_main"), T0, T1).groupBy("segment", "chunk").agg(F.count("*").alias("n")))
+
+
+@query("chunk_function", f"{_CHUNKS} SELECT segment, chunk, time, coalesce(time - (SELECT max(b.time) FROM k b WHERE b.segment = k.segment AND b.time < k.time AND b.time >= r.main_start - 100000000), -1) AS since FROM k JOIN r USING (segment, chunk) GROUP BY ALL")
+def _(spark, d):
+    def since(pdf):
+        t = pdf["time"].drop_duplicates()
+        return t.to_frame().assign(since=t.diff().fillna(-1).astype("int64"))
+
+    return CH.map_chunks(_chunks(spark, d), since, "time long, since long")
+
+
+@query("check_sorted", f"WITH {IV_SQL}, a AS (SELECT count(*) AS unsorted FROM (SELECT time - lag(time) OVER (ORDER BY event_id) AS d FROM iv) WHERE d < 0), b AS (SELECT count(*) AS overlapping FROM (SELECT time - lag(endtime) OVER (ORDER BY time, event_id) AS d FROM iv) WHERE d < 0) SELECT unsorted, overlapping, unsorted = 0 AND overlapping = 0 AS ok FROM a, b")
+def _(spark, d):
+    return I.check_sorted(intervals(spark, d), "event_id")
+
+
+@query("first_occurrences", f"WITH {HITS_SQL} SELECT channel, len, min(event_id) AS event_id FROM h GROUP BY 1, 2")
+def _(spark, d):
+    return rounded(I.first_occurrences(intervals(spark, d).select("channel", F.col("length").alias("len"), "event_id"), ["channel", "len"], "event_id"))
+
+
+@query("unique_records", f"WITH {HITS_SQL} SELECT event_id AS record_id FROM h")
+def _(spark, d):
+    h = event_hits(spark, d)
+    return rounded(FE.unique_records(h.select("record_id"), h))
+
+
+_LOG = f"WITH {HITS_SQL}, g AS (SELECT 'channel ' || channel AS name, len <> 1 AS ok, len = 5 AS hit, value AS seconds FROM h), st AS (SELECT name, count(*) AS calls, avg(CAST(hit AS INT)) AS hit_rate, avg(CAST(ok AS INT)) AS success_rate, sum(seconds) AS seconds, min(seconds) FILTER (WHERE NOT hit) AS least, max(seconds) FILTER (WHERE NOT hit) AS most, avg(seconds) FILTER (WHERE NOT hit) AS mean FROM g GROUP BY 1)"
+
+
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    length = 1 + F.col("event_id") % 5
+    return event_hits(spark, d).select(F.concat(F.lit("channel "), F.col("channel")).alias("name"), (length != 1).alias("ok"), (length == 5).alias("hit"), F.col("area").alias("seconds"))
+
+
+@query("node_statistics", f"{_LOG} SELECT name, calls, round(hit_rate, 4) AS hit_rate, round(success_rate, 4) AS success_rate, round(seconds, 4) AS seconds, round(least, 4) AS least, round(most, 4) AS most, round(mean, 4) AS mean FROM st")
+def _(spark, d):
+    return rounded(ST.node_statistics(_log(spark, d)), 4)
+
+
+@query("bottlenecks", f"{_LOG} SELECT name, CASE WHEN seconds > 0.125 * (SELECT sum(seconds) FROM st) THEN 'slow,' ELSE '' END || 'failing,rebuilt' AS reasons FROM st")
+def _(spark, d):
+    return ST.bottlenecks(ST.node_statistics(_log(spark, d)), 0.125).select("name", "reasons")
+
+
 # ---- look-ups in time and by record -------------------------------------------------------------
 
 
@@ -524,25 +597,50 @@ def _(spark, d):
     return rounded(I.merge_sorted(*[h.where(F.col("channel") == k) for k in range(8)], order=["timestamp", "board", "channel"]).select("event_id", "channel"))
 
 
-# ---- beyond SQL: checked against NumPy in the tests ---------------------------------------------
+# ---- filters and widths -------------------------------------------------------------------------
 
+# Quadratic least squares over 11 samples x = -5..5: sum of x^2 is 110, of (x^2 - 10)^2 is 858.
+_SMOOTH = """sm AS (SELECT *, list_transform(range(0, len(wave)), lambda i: list_sum(list_transform(range(-5, 6), lambda j:
+  wave[least(greatest(i - 5, 0), len(wave) - 11) + j + 6] * (1 / 11.0 + (i - least(greatest(i - 5, 0), len(wave) - 11) - 5) * j / 110.0
+  + ((i - least(greatest(i - 5, 0), len(wave) - 11) - 5) ** 2 - 10) * (j * j - 10) / 858.0)))) AS y FROM v)"""
 
-@query("wave_peaks")
+
+@query("wave_savgol", f"WITH {WAVES_SQL}, {_SMOOTH} SELECT record_id, round(list_sum(y), 1) AS total, round(list_max(y), 1) AS top FROM sm")
 def _(spark, d):
-    return rounded(H.peak_hits(waveforms(spark, d), height=30, prominence=0.7, width=1))
+    return rounded(S.filter_waveforms(waveforms(spark, d)).select("record_id", W.total(F.col("wave")).alias("total"), F.array_max("wave").alias("top")), 1)
 
 
-@query("wave_savgol")
+@query("filtered_pool", f"WITH {WAVES_SQL}, {_SMOOTH} SELECT record_id, CAST(coalesce(sum(event_length) OVER (ORDER BY record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS wave_offset, round(list_min(y), 1) AS least FROM sm")
 def _(spark, d):
-    return rounded(S.filter_waveforms(waveforms(spark, d)).select("record_id", W.total(F.col("wave")).alias("total"), F.array_max("wave").alias("top")), 3)
+    return rounded(S.filtered_pool(waveforms(spark, d)).select("record_id", "wave_offset", F.array_min("wave").alias("least")), 1)
 
 
-@query("wave_bandpass")
-def _(spark, d):
-    return rounded(S.filter_waveforms(waveforms(spark, d), "BW", lowcut=0.05, highcut=0.2).select("record_id", W.total(F.col("wave")).alias("total"), F.array_max("wave").alias("top")), 2)
+def _crossing(share: float, rising: bool) -> str:
+    level, steps = f"peak * {share}", f"list_filter(range(0, position), lambda i: w[i + 1] >= peak * {share})" if rising else f"list_filter(range(position, len(w)), lambda i: w[i + 1] <= peak * {share})"
+    first = "0" if rising else "position"
+    return f"(SELECT CASE WHEN i IS NULL OR i = {first} OR abs(w[i + 1] - w[i]) < 1e-10 THEN i ELSE i - 1 + ({level} - w[i]) / (w[i + 1] - w[i]) END FROM (SELECT {steps}[1] AS i))"
 
 
-@query("wave_pulse_width")
+_WIDTHS = f"""WITH {WAVES_SQL}, {_THRESHOLD}, b AS (SELECT record_id, list_sum(wave[1:50]) / 50.0 AS base, wave FROM v),
+j AS (SELECT th.*, list_transform(wave, lambda x: x - base) AS w, wave[position + 1] - base AS peak FROM th JOIN b USING (record_id)),
+c AS (SELECT *, {_crossing(0.1, True)} AS rl, {_crossing(0.9, True)} AS rh, {_crossing(0.9, False)} AS fh, {_crossing(0.1, False)} AS fl FROM j WHERE peak > 0),
+o AS (SELECT *, coalesce(rh - rl, 0) AS r, coalesce(fl - fh, 0) AS f, coalesce(fl - rl, 0) AS t FROM c)"""
+
+
+@query("wave_pulse_width", f"{_WIDTHS} SELECT round(r / 0.5, 4) AS rise_time, round(f / 0.5, 4) AS fall_time, round(t / 0.5, 4) AS total_width, round(r, 4) AS rise_time_samples, round(f, 4) AS fall_time_samples, round(t, 4) AS total_width_samples, position AS peak_position, round(peak, 4) AS peak_height, timestamp, board, channel, record_id FROM o")
 def _(spark, d):
     w = waveforms(spark, d)
     return rounded(FE.pulse_widths(H.threshold_hits(w, 120), w), 4)
+
+
+# ---- beyond SQL ---------------------------------------------------------------------------------
+
+
+@query("wave_peaks")
+def _(spark, d):
+    return rounded(H.peak_hits(waveforms(spark, d), height=30, prominence=0.7, width=1))
+
+
+@query("wave_bandpass")
+def _(spark, d):
+    return rounded(S.filter_waveforms(waveforms(spark, d), "BW", lowcut=0.05, highcut=0.2).select("record_id", W.total(F.col("wave")).alias("total"), F.array_max("wave").alias("top")), 2)

@@ -104,3 +104,26 @@ def critical_path(context: Context, name: str, run: str = "", seconds: Mapping[s
     total, (longest, path) = sum(map(cost, depth)), ends[name]
     layers = [sorted(x for x in depth if depth[x] == k) for k in range(max(depth.values()) + 1)]
     return {"path": path, "seconds": longest, "total": total, "speed_up": total / longest if longest else 1.0, "layers": layers, "width": max(map(len, layers))}
+
+
+def execution_log(context: Context) -> DataFrame:
+    """What the context has built, read or failed at: run, name, ok, hit (read from the store), seconds (of planning alone, where nothing was written)."""
+    return context.spark.createDataFrame([(e["run"], e["name"], e["ok"], e["hit"], e["seconds"]) for e in context.log], "run string, name string, ok boolean, hit boolean, seconds double")
+
+
+def node_statistics(log: DataFrame) -> DataFrame:
+    """Per dataset of log(name, ok, hit, seconds): calls, shares of hits and of successes, seconds in all and of a built call."""
+    built = F.when(~F.col("hit"), F.col("seconds"))
+    return log.groupBy("name").agg(
+        F.count("*").alias("calls"), F.avg(F.col("hit").cast("int")).alias("hit_rate"), F.avg(F.col("ok").cast("int")).alias("success_rate"),
+        F.sum("seconds").alias("seconds"), F.min(built).alias("least"), F.max(built).alias("most"), F.avg(built).alias("mean"),
+    )
+
+
+def bottlenecks(statistics: DataFrame, share: float = 0.2, least_hits: float = 0.5) -> DataFrame:
+    """Datasets with more than that share of all seconds (slow), that fail at times (failing), or that are asked for again but seldom kept (rebuilt)."""
+    total = statistics.agg(F.sum("seconds").alias("__all"))  # one row
+    reason = F.array_compact(F.array(
+        F.when(F.col("seconds") > share * F.col("__all"), "slow"), F.when(F.col("success_rate") < 1, "failing"), F.when((F.col("calls") > 1) & (F.col("hit_rate") < least_hits), "rebuilt"),
+    ))
+    return statistics.crossJoin(total).withColumn("reasons", F.array_join(reason, ",")).where("reasons <> ''").drop("__all")
