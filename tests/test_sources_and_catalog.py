@@ -175,6 +175,15 @@ def test_layers_of_channel_values_and_maps(spark, root, tmp_path):
     assert both.count() == 3 and both.columns == ["board", "channel"]
 
 
+def test_classified_and_filtered_pool_in_the_chain(spark, root, tmp_path):
+    ctx = Context(spark, {"data_root": root, "s1_s2": {"s1": {"width": (0, None)}}}, str(tmp_path / "store"))
+    ctx.register(*cpu_default())
+    rows = ctx.get("run1", "s1_s2")
+    assert rows.count() == 24 and {r.label for r in rows.collect()} == {1}
+    pool = ctx.get("run1", "wave_pool_filtered").orderBy("record_id").collect()
+    assert [r.wave_offset for r in pool] == [128 * k for k in range(24)] and all(len(r.wave) == 128 for r in pool)
+
+
 def test_changed_files_are_read_anew(spark, tmp_path):
     raw = tmp_path / "r" / "RAW"
     raw.mkdir(parents=True)
