@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import timeunits as U
@@ -39,9 +39,18 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def sql_round(x: Column, digits: int) -> Column:
+    """x to some decimals as the SQL does it: the double times 10^digits, to whole numbers, divided again.
+
+    Spark's own round takes the shortest decimal of x, so 25.92375, a double just below that, goes up.
+    """
+    x, scale = x.cast("double"), 10.0**digits
+    return F.when(F.abs(x * scale) < float("inf"), F.round(x * scale) / scale).otherwise(x)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Floats as doubles of few decimals; whole numbers as longs."""
-    return df.select(*[F.round(F.col(f"`{n}`").cast("double"), digits).alias(n) if t in ("double", "float") else F.col(f"`{n}`").cast("long").alias(n) if t in ("int", "smallint", "tinyint", "bigint") else F.col(f"`{n}`") for n, t in df.dtypes])
+    return df.select(*[sql_round(F.col(f"`{n}`"), digits).alias(n) if t in ("double", "float") else F.col(f"`{n}`").cast("long").alias(n) if t in ("int", "smallint", "tinyint", "bigint") else F.col(f"`{n}`") for n, t in df.dtypes])
 
 
 # ---- surrogates -------------------------------------------------------------------------------
