@@ -8,9 +8,12 @@ from wavelark.operators import features as FE
 from wavelark.operators import intervals as I
 from wavelark.plans import store as ST
 from wavelark.plans.catalog import Context, Node
+from wavelark.plans.reference import ORACLE_SQL, QUERIES
 from wavelark.sources.layouts import formats
 from wavelark.sources.text import runs_overview, wave_length
 
+from .oracle import compare, connect
+
 
 @pytest.fixture()
 def ctx(spark, tmp_path):
@@ -61,6 +64,27 @@ def test_as_of_brute(spark):
     assert I.as_of(spark.createDataFrame([(1,)], "t long"), df.limit(0)).first().found is None and I.as_of(spark.createDataFrame([], "t long"), df).count() == 0
 
 
+def test_as_of_without_times(spark, tmp_path):
+    rows = spark.createDataFrame([(None, None, 1), (10, 20, 2)], "time long, endtime long, k int")
+    points = spark.createDataFrame([(None,), (5,), (15,)], "t long")
+    got = {r.t: (r.found and r.found.k, r.inside) for r in I.as_of(points, rows, bucket=7).collect()}
+    assert got == {None: (None, False), 5: (None, False), 15: (2, True)}
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.withColumn("ts", F.when(F.col("event_id") % 7 != 3, F.col("ts"))).write.parquet(f"{tmp_path}/events.parquet")
+    assert compare(spark, QUERIES["as_of"], ORACLE_SQL["as_of"], str(tmp_path)) == ""
+
+
+def test_as_of_ties(spark, tmp_path):
+    """Copies of the events at the same instants: the SQL leaves open which of them is found, here the latest end, then the largest id."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    copies = events.crossJoin(spark.range(12).withColumnRenamed("id", "copy")).withColumn("event_id", F.col("event_id") + F.col("copy") * 1001).drop("copy")
+    copies.write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(map(tuple, QUERIES["as_of"](spark, str(tmp_path)).collect()))
+    sql = """WITH i AS (SELECT epoch_us(ts) AS time, max(struct_pack(l := event_id % 5, e := event_id)) AS last FROM events GROUP BY 1)
+        SELECT event_id, i.last.e, i.time + 1000000 * (1 + i.last.l) > epoch_us(ts) + 1500000 FROM events ASOF LEFT JOIN i ON epoch_us(ts) + 1500000 >= i.time"""
+    assert got == sorted(connect(str(tmp_path)).execute(sql).fetchall())
+
+
 def test_channels_waves_and_files(spark, tmp_path):
     df = spark.createDataFrame([(0, 1, 5), (0, 2, 6), (0, 1, 7)], "board int, channel int, x int")
     assert {k: v.count() for k, v in I.by_channel(df).items()} == {1: 2, 2: 1}

@@ -196,9 +196,10 @@ def as_of(points: DataFrame, rows: DataFrame, point: str = "t", time: str = "tim
     `inside`: whether the point lies before that row's end (at its start, where it has no length).
 
     Both sides are dealt by time buckets; the last row of a bucket is carried to the buckets after it by one
-    summary row each, so nothing is joined by range. Ties in time go to the later end, then to `order`.
+    summary row each, so nothing is joined by range. Ties in time go to the later end, then to `order`. Rows
+    without a time are not found, and a point without one finds nothing.
     """
-    rows = rows if END in rows.columns else with_endtime(rows, time)
+    rows = (rows if END in rows.columns else with_endtime(rows, time)).where(F.col(time).isNotNull())
     b = bucket or default_bucket(rows, time)
     keys = [time, END, *(order or [])]
     row, asked = F.struct(*[F.col(c) for c in rows.columns]), F.struct(*[F.col(c) for c in points.columns])

@@ -532,7 +532,8 @@ def _(spark, d):
 def _(spark, d):
     rows = intervals(spark, d)
     points = event_hits(spark, d).select(F.col("event_id").alias("q"), (F.col("timestamp") + 1_500_000).alias("t"))
-    return rounded(I.as_of(points, rows, order=["event_id"]).select("q", F.col("found.event_id").alias("found"), "inside"))
+    inside = F.when(F.col("found").isNotNull(), F.col("inside"))
+    return rounded(I.as_of(points, rows, order=["event_id"]).select("q", F.col("found.event_id").alias("found"), inside.alias("inside")))
 
 
 @query("time_overlaps", f"WITH {IV_SQL} SELECT count(*) > 0 AS overlaps FROM iv WHERE endtime > {T0} AND time < {T1}")
